@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latentia.llm import language_id, mixing, packing, quality, token_count, url_filter, winnowing
+from latentia.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, token_count, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_token_count": token_count.op4_token_count,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op6_quality": quality.op6_quality,
         "op7_winnowing": winnowing.op7_winnowing,
         "op9_pack": packing.op9_pack,
