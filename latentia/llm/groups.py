@@ -1,7 +1,7 @@
 """Linked groups from candidate buckets, without listing the pairs of a bucket.
 
 In each round every bucket that still has nodes of different components names a
-few centres, first one, then twice as many each time. A centre is compared with
+few centres, first one, then eight times as many each time. A centre is compared with
 all nodes of its bucket that are in other components; then all its pairs in
 this bucket are settled and it leaves the bucket. Confirmed links merge
 components, so a bucket whose nodes hang together ends after one round and
@@ -113,7 +113,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
             state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), *payload)
         else:
             state = left.select("bucket", "node", F.col("node").alias("comp"), *payload)
-        centres_each *= 2
+        centres_each *= 8
     empty = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links = empty if links is None else links
     return (comps if comps is not None else connected(links)), links

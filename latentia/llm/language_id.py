@@ -174,10 +174,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.array([r[0] for r in got]), languages)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = (), lead: float = 0.1) -> DataFrame:
-    """id, the carried columns, lang_pred, score, margin (lead over the next language) and ambiguous (margin under `lead`)."""
+def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = (), lead: float = 0.1, keep_text: str | None = None) -> DataFrame:
+    """id, the carried columns, lang_pred, score, margin (lead over the next language) and ambiguous (margin under `lead`); the text too, if it is given a name."""
     rows = docs.select(F.col(id_col), *carry, F.col(text_col).alias("_text"))
-    kept = [f for f in rows.schema.fields if f.name != "_text"]
+    kept = [f for f in rows.schema.fields if f.name != "_text" or keep_text]
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -206,7 +206,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("ambiguous", BooleanType())])
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.withColumnRenamed("_text", keep_text) if keep_text else out
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

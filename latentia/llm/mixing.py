@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,8 +164,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids must be unique here; n_chars, where there is such a column, is the new text's.
     """
-    import pandas as pd
-
     args = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "block_words": 32, "seed": 20} | options
     plan = plan_mix(docs, id_col, text_col, source_col, **args)
 

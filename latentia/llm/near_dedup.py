@@ -161,5 +161,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component.eqNullSafe(F.col("id")), F.lit(False)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+    """docs with one document of each group: that of the least id; of rows that are equal in id and set, all stay."""
+    gone = near_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col).alias("_id")).distinct()
+    gone = small(keep(gone))
+    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"))

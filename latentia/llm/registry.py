@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from latentia.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, token_count, url_filter, winnowing
+from latentia.llm import katz, language_id, line_dedup, mixing, near_dedup, packing, quality, token_count, url_filter, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_katz": katz.op2_katz,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_token_count": token_count.op4_token_count,
         "op5_near_dedup": near_dedup.op5_near_dedup,
