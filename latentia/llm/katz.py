@@ -187,7 +187,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score. `held`: true for those that nothing is learned from."""
     spark = docs.sparkSession
     _, size = volume(docs, text_col)
-    n_chunks, n_buckets = parts(spark, size, 16 << 20), parts(spark, size, 8 << 20)
+    n_chunks, n_buckets = parts(spark, size, 8 << 20), parts(spark, size, 6 << 20)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(n_chunks)).cast("int"))
     id_kind = dict(rows.dtypes)["id"]
