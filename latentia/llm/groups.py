@@ -73,12 +73,13 @@ def connected(links: DataFrame) -> DataFrame:
 def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column] | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Components (node, comp) of the nodes with a link, and the confirmed links (a, b).
 
-    members: bucket, node and the payload columns, each node once in a bucket, of buckets with two nodes or more.
+    members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
+    more. before: 32-bit parts of the node's buckets that stand earlier in an order that all nodes share; a pair is
+    settled in the first of its common buckets only, and so once.
     verify: adds a boolean `ok` to pairs (a, b). may_link: a condition on the payload of the sides named, under which alone a pair is verified.
     """
-    state = members.select("bucket", "node", F.col("node").alias("comp"), *payload)
-    links = tested = comps = None
-    own = None
+    state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
+    links = comps = own = None
     centres_each = 1
     while True:
         rank = F.xxhash64("node", F.lit("rank"))
@@ -92,27 +93,24 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
         order = Window.partitionBy("bucket").orderBy(F.col("comp") == F.col("hub"), rank, "node")
         first = order if centres_each > 1 else Window.partitionBy("bucket").orderBy(rank, "node")
         centres = active.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= centres_each)
-        centres = centres.select("bucket", F.col("node").alias("c"), F.col("comp").alias("c_comp"), *[F.col(x).alias(f"c_{x}") for x in payload])
-        centres = keep(centres)
-        pairs = active.join(centres, "bucket").where("comp <> c_comp")
+        carried = ["node", "comp", "before", *payload]
+        centres = keep(centres.select("bucket", *[F.col(x).alias(f"c_{x}") for x in carried]))
+        ok = (F.col("comp") != F.col("c_comp")) & (active["bucket"] == centres["bucket"])
         if may_link is not None:
-            pairs = pairs.where(may_link("", "c_"))
-        pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            ok = ok & may_link("", "c_")
+        ok = ok & ~F.arrays_overlap("before", "c_before")
+        pairs = active.join(centres, ok).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
         pairs = keep(pairs)
-        checked = keep(verify(pairs).select("a", "b", "ok"))
+        good = keep(verify(pairs).where("ok").select("a", "b"))
         forget(pairs)
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        good = checked.where("ok").select("a", "b")
         links = good if links is None else links.union(good)
         if good.limit(1).count():
             comps = connected(links)
-        left = active.drop("hub", "comp").join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        left = active.drop("hub", "comp").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         if comps is not None:
-            state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), *payload)
+            state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "before", *payload)
         else:
-            state = left.select("bucket", "node", F.col("node").alias("comp"), *payload)
+            state = left.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
         centres_each *= 8
     empty = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links = empty if links is None else links
