@@ -32,8 +32,8 @@ from latentia.llm.tables import keep, read
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
 MAX_SHARDS = 20_000
-SHARD_WORDS = 4_000_000
-SHARD_ROWS = 50_000
+SHARD_WORDS = 250_000
+SHARD_ROWS = 2_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
