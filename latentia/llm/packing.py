@@ -3,8 +3,8 @@
 The program has a variable for each way to fill a sequence with piece lengths
 and covers the histogram of lengths. It is solved by multiplicative weights:
 lengths not yet covered weigh more, and a knapsack dynamic program finds the
-filling of most weight. The variables are rounded down, the program is solved
-again for what is left while that helps, and the last pieces go best-fit.
+filling of most weight. A share of the variables is rounded down, the program is
+solved again for what is left while that helps, and the last pieces go best-fit.
 Only the histogram (as many counts as a sequence has tokens) reaches the
 driver. Pieces find their places by their rank among those of their length,
 from counts by shard, so no length's pieces ever meet in one task.
@@ -24,9 +24,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latentia.llm.tables import keep, read
-from latentia.llm.token_count import Splitter, worker_store
+from latentia.llm.token_count import Splitter, byte_alphabet, worker_store
 
-CACHE = 400_000
+
+class Encoder:
+    """Ids of whole texts by the vocabulary of a byte-level BPE file.
+
+    Its merges are in the order of its ids, so the same vocabulary as ranks gives the same ids; that encoder is
+    several times as fast. Texts with special strings, or with characters whose classes differ between Unicode
+    versions, go to the file's own tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        self.splitter = Splitter(path)
+        byte = {c: i for i, c in enumerate(byte_alphabet())}
+        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        ranks = {bytes(byte[c] for c in k): i for k, i in vocab.items() if k not in self.splitter.special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if any(x in text for x in self.splitter.special) or (not text.isascii() and self.splitter.odd(text)):
+            return self.splitter.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 def best_filling(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
@@ -98,13 +124,17 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return list(found.items())
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 400, step: float = 0.25, small: int = 20_000) -> list[tuple[tuple, int]]:
-    """Fillings (pairs of length and copies, longest first) with whole multiplicities that use every piece once."""
+def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 250, step: float = 0.25, share: float = 0.85, small: int = 20_000, rounds: int = 40) -> list[tuple[tuple, int]]:
+    """Fillings (pairs of length and copies, longest first) with whole multiplicities that use every piece once.
+
+    Of each full filling a share is taken, rounded down, so that what is left still has all lengths; the program is
+    solved again for that, and the last pieces are packed best-fit.
+    """
     left = {k: int(v) for k, v in histogram.items() if v > 0}
     plan: list[tuple[tuple, int]] = []
     if capacity in left:
         plan.append((((capacity, 1),), left.pop(capacity)))
-    for _ in range(12):
+    for _ in range(rounds):
         total = sum(left.values())
         if total <= 1:
             break
@@ -114,14 +144,14 @@ def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 400, s
         packed = 0
         fill = lambda key: sum(x * a for x, a in key)
         for key, x in sorted(used.items(), key=lambda e: (-fill(e[0]), -e[1], e[0])):
-            m = min(int(np.ceil(x)), *(left[k] // a for k, a in key))
-            if m > 0 and (fill(key) == capacity or m >= 2):
+            m = min(int(share * x), *(left[k] // a for k, a in key))
+            if m > 0 and fill(key) == capacity:
                 plan.append((key, m))
                 for k, a in key:
                     left[k] -= a * m
                     packed += a * m
         left = {k: v for k, v in left.items() if v}
-        if not left or (sum(left.values()) <= small and packed < 0.3 * total) or not packed:
+        if sum(left.values()) <= small or packed < 0.02 * total:
             break
     return plan + best_fit(left, capacity)
 
@@ -135,25 +165,15 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
         store = worker_store()
         key = ("token ids", path)
         if key not in store:
-            store[key] = (Splitter(path), {})
-        splitter, cache = store[key]
-        end = int(end_id).to_bytes(4, "little")
+            store[key] = Encoder(path)
+        encoder = store[key]
         for batch in batches:
             column, n = batch.column(1), batch.num_rows
             at, span = 0, 256
             while at < n:
-                texts = column.slice(at, span).to_pylist()
-                split = [splitter.pieces(t) if t else [] for t in texts]
-                new = list(set().union(*split).difference(cache))
-                if new:
-                    if len(cache) + len(new) > CACHE:
-                        cache.clear()
-                        new = list(set().union(*split))
-                    got = splitter.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                    cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
                 out: list[tuple] = []
-                for i, pieces in enumerate(split):
-                    data = memoryview(b"".join(map(cache.__getitem__, pieces)) + end)
+                for i, text in enumerate(column.slice(at, span).to_pylist()):
+                    data = memoryview(np.array([*encoder.ids(text), end_id], "<u4").tobytes())
                     total = len(data) // 4
                     start, length, k = 0, total % capacity or min(total, capacity), 0
                     while start < total:
