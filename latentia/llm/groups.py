@@ -76,7 +76,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
     members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
     more. before: 32-bit parts of the node's buckets that stand earlier in an order that all nodes share; a pair is
     settled in the first of its common buckets only, and so once.
-    verify: adds a boolean `ok` to pairs (a, b). may_link: a condition on the payload of the sides named, under which alone a pair is verified.
+    verify: adds a boolean `ok` to pairs of a member a and a centre b; it may leave out those that are not. may_link: a condition on the payload of the sides named, under which alone a pair is verified.
     """
     state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
     links = comps = own = None
@@ -99,7 +99,7 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
         if may_link is not None:
             ok = ok & may_link("", "c_")
         ok = ok & ~F.arrays_overlap("before", "c_before")
-        pairs = active.join(centres, ok).select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
+        pairs = active.join(centres, ok).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct()
         pairs = keep(pairs)
         good = keep(verify(pairs).where("ok").select("a", "b"))
         forget(pairs)

@@ -144,25 +144,43 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Adds ok: 100 * shared >= threshold * all."""
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+#: Centres of a block, and members in a part of a block, that are verified together.
+BLOCK_CENTRES, BLOCK_MEMBERS = 64, 2048
 
-    def run(batches):
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) with 100 * shared >= threshold * all, as ok.
+
+    Centres b are dealt to blocks; a member's set is sent once to each block that holds centres of its pairs, and a
+    block with many members is split by them, so neither pairs nor hot centres multiply rows.
+    """
+    n = max(1, pairs.select("b").distinct().count() // BLOCK_CENTRES)
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b", F.lit("block")), F.lit(n)).cast("int"))
+    sizes = dealt.groupBy("block").agg((F.approx_count_distinct("a") / BLOCK_MEMBERS + 1).cast("int").alias("n_parts"))
+    part = F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int").alias("part")
+    members = dealt.groupBy("block", "a").agg(F.collect_list("b").alias("bs")).join(sizes, "block").select("block", part, "a", "bs")
+    members = members.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    centres = dealt.select("block", "b").distinct().join(sizes, "block").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("block", "part", "b", "sb")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {b: np.frombuffer(s.as_buffer(), U) for b, s in zip(right["b"].to_pylist(), right["sb"], strict=True)} if right.num_rows else {}
+        found_a, found_b = [], []
+        for a, bs, s in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["sa"], strict=True):
+            own = np.frombuffer(s.as_buffer(), U)
+            for b in bs:
+                x, y = (own, held[b]) if len(own) <= len(held[b]) else (held[b], own)
                 if 100 * len(x) < threshold * len(y):
                     continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 shared = int((y[at] == x).sum())
-                ok[i] = 100 * shared >= threshold * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "ok": pa.array(ok)})
+                if 100 * shared >= threshold * (len(x) + len(y) - shared):
+                    found_a.append(a)
+                    found_b.append(b)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64()), "ok": pa.array([True] * len(found_a), pa.bool_())})
 
-    return rows.mapInArrow(run, "a long, b long, ok boolean")
+    members, centres = members.select("block", "part", "a", "bs", "sa").toDF("block", "part", "a", "bs", "sa"), centres.toDF("block_c", "part_c", "b", "sb")
+    return members.groupBy("block", "part").cogroup(centres.groupBy("block_c", "part_c")).applyInArrow(run, "a long, b long, ok boolean")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
