@@ -46,6 +46,7 @@ BEGIN, END = U(0x0B5E0000000000A1), U(0x0E4D0000000000B3)
 TOP = 5
 #: A history or bigram is frequent if it has this part of what a bucket holds on average.
 FREQUENT = 0.25
+LEAST_FREQUENT = 1000
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -136,6 +137,8 @@ def hasher_of_worker() -> WordHasher:
 
 def slices(bucket: np.ndarray):
     """Runs of equal values."""
+    if not len(bucket):
+        return
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     yield from zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)
 
@@ -202,7 +205,7 @@ def score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str =
     total, distinct = int(sums[1][0]), int(sums[1][1])
     low = Unigram(total, dict(enumerate(sums[1][2:].tolist(), 1)))
     d2 = good_turing(dict(enumerate(sums[2][2:].tolist(), 1)))
-    hot = max(1000.0, FREQUENT * total / n_buckets)
+    hot = max(LEAST_FREQUENT, FREQUENT * total / n_buckets)
     hot_pairs = np.sort(np.array([k for k, c in often.items() if c >= hot], U))
     n_learned = rows.where("not held").count()
     cast = {"id": id_kind, "held": "boolean", "n_tokens": "long", "n_known": "long", "base": "double"}

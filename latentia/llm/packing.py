@@ -124,7 +124,7 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return list(found.items())
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 250, step: float = 0.25, share: float = 0.85, small: int = 20_000, rounds: int = 40) -> list[tuple[tuple, int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 250, step: float = 0.25, share: float = 0.5, small: int = 20_000, rounds: int = 40) -> list[tuple[tuple, int]]:
     """Fillings (pairs of length and copies, longest first) with whole multiplicities that use every piece once.
 
     Of each full filling a share is taken, rounded down, so that what is left still has all lengths; the program is
