@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.llm.kernels import buffers
-from latentia.llm.tables import id_remainder, read
+from latentia.llm.tables import id_remainder, read, small_batches
 
 BITS = 12
 DIM = 2 << BITS
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: list[Column] = (), lead: float = 0.1, keep_text: str | None = None) -> DataFrame:
     """id, the carried columns, lang_pred, score, margin (lead over the next language) and ambiguous (margin under `lead`); the text too, if it is given a name."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), *carry, F.col(text_col).alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text" or keep_text]
     held = rows.sparkSession.sparkContext.broadcast(model)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentia.llm.tables import keep, read
+from latentia.llm.tables import keep, read, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
@@ -164,6 +164,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids must be unique here; n_chars, where there is such a column, is the new text's.
     """
+    small_batches(docs.sparkSession)
     args = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "block_words": 32, "seed": 20} | options
     plan = plan_mix(docs, id_col, text_col, source_col, **args)
 

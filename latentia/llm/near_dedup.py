@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from latentia.llm.groups import link_groups, shared_buckets, small
 from latentia.llm.kernels import WordHasher, U, buffers, distinct, grams, mix
-from latentia.llm.tables import keep, read
+from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import worker_store
 
 REGISTERS = 128
@@ -105,6 +105,7 @@ def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int = 256) -> DataFrame:
     """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and bit planes of the signature."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
     def run(batches):

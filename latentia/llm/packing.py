@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latentia.llm.tables import keep, read
+from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import Splitter, byte_alphabet, worker_store
 
 
@@ -158,6 +158,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 250, s
 
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = rows.schema[0].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,6 +51,14 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes of a batch that goes to Python workers; whole texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.sub(r"\D", "", str(spark.conf.get(key)))
+    if not now or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def id_remainder(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
