@@ -179,10 +179,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), *carry, F.col(text_col).alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text" or keep_text]
-    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = held.value
         ascii_letters = np.zeros(256, bool)
         ascii_letters[[*range(65, 91), *range(97, 123)]] = True
         for batch in batches:

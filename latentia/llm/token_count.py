@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latentia.llm.kernels import buffers
 from latentia.llm.tables import read
 
 #: Characters whose classes no recent Unicode version has changed; texts with others are split by the library itself.
@@ -134,7 +135,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         splitter, merger, cache = store[key]
         for batch in batches:
             column = batch.column(1)
-            sizes = np.diff(buffer_offsets(column))
+            sizes = np.diff(buffers(column)[1])
             tokens = np.zeros(batch.num_rows, np.int64)
             groups = np.cumsum(sizes) // 2_000_000
             for g in np.unique(groups):
@@ -153,12 +154,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def buffer_offsets(column: pa.Array) -> np.ndarray:
-    from latentia.llm.kernels import buffers
-
-    return buffers(column)[1]
-
-
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
