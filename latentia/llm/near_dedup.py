@@ -17,6 +17,8 @@ table gives no rows; further columns are left out of the plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,8 @@ SHINGLE = 5
 #: A pair is verified if so many registers agree in their last four bits; at 85 % likeness about 111 do, give or take 3.
 LEAST_AGREEING = 98
 PLANES = [f"p{i}" for i in range(8)]
+#: Words of a set's parity sketch.
+PARITIES = [f"q{i}" for i in range(8)]
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,6 +101,29 @@ def agree(a: str, b: str) -> Column:
     return total <= REGISTERS - LEAST_AGREEING
 
 
+def parities(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each row, whether an even or odd number of its shingles falls on each of 512 bits, as 8 words.
+
+    Two sketches differ in at most as many bits as there are shingles in one set only.
+    """
+    n_bits = 64 * len(PARITIES)
+    n = len(starts) - 1
+    at = np.repeat(np.arange(n), np.diff(starts)) * n_bits + (mix(values) % U(n_bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * n_bits) & 1
+    return np.packbits(odd.astype(bool).reshape(n, n_bits), axis=1).view(np.int64)
+
+
+def may_be_near(threshold: int) -> Callable[[str, str], Column]:
+    """A condition on both sides' sizes and parities that every pair of the threshold meets."""
+
+    def condition(a: str, b: str) -> Column:
+        differing = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in PARITIES), F.lit(0))
+        both = F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
+        return (100 + threshold) * differing <= (100 - threshold) * both
+
+    return condition
+
+
 def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """One hash for each row's whole set."""
     sums = np.r_[U(0), np.cumsum(mix(values * U(0xA0761D6478BD642F) + U(1)), dtype=U)]
@@ -104,7 +131,7 @@ def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int = 256) -> DataFrame:
-    """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and bit planes of the signature."""
+    """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band), bit planes of the signature and parities of the set."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
@@ -118,12 +145,12 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int
                 values, starts = shingles(*buffers(part.column("_text")), store["words in lower case"])
                 n = np.diff(starts)
                 registers = signatures(values, starts)
-                keys, bits = bands(registers).view(np.int64), planes(registers)
+                keys, bits = bands(registers).view(np.int64), np.hstack([planes(registers), parities(values, starts)])
                 at = np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]
                 node = pa.array(set_key(values, starts).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PLANES)})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PLANES + PARITIES)})
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PLANES))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PLANES + PARITIES))
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -188,14 +215,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
     table = keep(signature_table(docs, id_col, text_col))
     nodes = table.where("node is not null")
-    traits = nodes.select("node", "buckets", *PLANES).dropDuplicates(["node"])
+    payload = ("n_shingles", *PLANES, *PARITIES)
+    near = may_be_near(threshold)
+    traits = nodes.select("node", "buckets", *payload).dropDuplicates(["node"])
     members = shared_buckets(keep(traits.select(F.posexplode("buckets").alias("pos", "bucket"), "node")))
     before = F.slice(F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")), F.lit(1), F.col("pos"))
-    members = keep(members.join(traits, "node").select("bucket", "node", before.alias("before"), *PLANES))
+    members = keep(members.join(traits, "node").select("bucket", "node", before.alias("before"), *payload))
     some = members.select("node").distinct()
     wanted = nodes.select("node", "id").groupBy("node").agg(F.min("id").alias("id")).join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), agree, tuple(PLANES))
+    comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), lambda a, b: near(a, b) & agree(a, b), payload)
     labelled = table.select("id", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(first, "comp", "left")

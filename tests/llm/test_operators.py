@@ -211,6 +211,19 @@ def test_chain_of_near_copies(spark):
     assert {r.component_id for r in near_dedup.near_groups(df).collect()} == {0}
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 96).astype(np.uint64)
+    sets = [np.unique(np.r_[base[d:], rng.integers(0, 2**62, d).astype(np.uint64)]) for d in (0, 3, 8, 16, 60)] + [base[:0]]
+    p = near_dedup.parities(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            differing = int(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).sum())
+            apart = len(set(x) ^ set(y))
+            assert differing <= apart and differing % 2 == apart % 2
+            assert apart > 40 or differing >= 0.85 * apart
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000).astype(np.uint64)
