@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latentia.functions import irf
+
 
 def mantel_haenszel(responses: DataFrame, groups: DataFrame, stratum: DataFrame) -> DataFrame:
     """Continuity-corrected chi-square and common odds ratio by item. groups: person_id, g (0 reference, 1 focal); stratum: person_id, s."""
@@ -57,3 +59,32 @@ def drift(old: DataFrame, new: DataFrame) -> DataFrame:
     dev = d.join(F.broadcast(med)).withColumn("dev", F.abs(F.col("d") - F.col("med")))
     mad = dev.agg(F.median("dev").alias("mad"))
     return dev.join(F.broadcast(mad)).select("item_id", "d", F.when(F.col("mad") < 1e-10, 0.0).otherwise(F.try_divide(F.col("d") - F.col("med"), 1.4826 * F.col("mad"))).alias("z"))
+
+
+def area_between(old: DataFrame, new: DataFrame, low: float = -4, high: float = 4, n: int = 100) -> DataFrame:
+    """Signed and unsigned area between two calibrations' curves of an item, by the trapezoidal rule on n points."""
+    j = old.select("item_id", F.col("a").alias("ao"), F.col("b").alias("bo")).join(new.select("item_id", F.col("a").alias("an"), F.col("b").alias("bn")), "item_id")
+    step = (high - low) / (n - 1)
+    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    grid = j.select("*", i).withColumn("t", low + F.col("i") * step)
+    gap = irf.p_2pl(F.col("t"), F.col("ao"), F.col("bo")) - irf.p_2pl(F.col("t"), F.col("an"), F.col("bn"))
+    w = F.when(F.col("i").isin(0, n - 1), step / 2).otherwise(step)
+    return grid.groupBy("item_id").agg(F.sum(w * gap).alias("signed"), F.sum(w * F.abs(gap)).alias("unsigned"))
+
+
+def crossing_sibtest(responses: DataFrame, groups: DataFrame) -> DataFrame:
+    """Uncorrected SIBTEST beta of each item up to and above the median of its matching score, and their difference."""
+    t = responses.where("resp is not null").join(groups, "person_id")
+    total = t.groupBy("person_id").agg(F.sum("resp").alias("total"))
+    m = t.join(total, "person_id").withColumn("k", F.col("total") - F.col("resp"))
+    side = lambda g, f: f(F.when(F.col("g") == g, F.col("resp")))
+    c = m.groupBy("item_id", "k").agg(F.count(F.lit(1)).alias("n"), side(0, F.avg).alias("mr"), side(1, F.avg).alias("mf"), side(0, F.count).alias("nr"), side(1, F.count).alias("nf"))
+    middle = c.groupBy("item_id").agg(F.percentile("k", F.lit(0.5), F.col("n")).alias("middle"))
+    w = 2.0 * F.col("nr") * F.col("nf") / (F.col("nr") + F.col("nf"))
+    d = c.where("nr > 0 and nf > 0").join(F.broadcast(middle), "item_id").withColumns({"w": w, "d": F.col("mr") - F.col("mf"), "high": F.col("k") > F.col("middle")})
+
+    def beta(high):
+        own = F.when(F.col("high") == F.lit(high), F.col("w"))
+        return F.coalesce(F.try_divide(F.sum(own * F.col("d")), F.sum(own)), F.lit(0.0))
+
+    return d.groupBy("item_id").agg(beta(False).alias("beta_low"), beta(True).alias("beta_high")).withColumn("beta_crossing", F.col("beta_high") - F.col("beta_low"))

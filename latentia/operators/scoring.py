@@ -67,3 +67,26 @@ def sum_scores(bank: DataFrame, n_nodes: int = 21) -> DataFrame:
 
     df = df.withColumn("dist", F.aggregate("items", F.array(F.lit(1.0)), step))
     return df.select("w", F.posexplode("dist").alias("score", "p")).groupBy("score").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
+
+
+def eap_by_sum(bank: DataFrame, n_nodes: int = 21) -> DataFrame:
+    """theta and se of each sum score on all items of the bank."""
+    items = F.broadcast(bank.agg(F.array_sort(F.collect_list(F.struct("item_id", "a", "b"))).alias("items")))
+
+    def step(dist, item):
+        p = irf.p_2pl(F.col("node"), item["a"], item["b"])
+        return F.zip_with(F.concat(F.transform(dist, lambda x: x * (1 - p)), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(dist, lambda x: x * p)), lambda x, y: x + y)
+
+    df = quadrature(bank.sparkSession, n_nodes).join(items).withColumn("dist", F.aggregate("items", F.array(F.lit(1.0)), step))
+    rows = df.select("node", "w", F.posexplode("dist").alias("score", "p")).withColumn("u", F.col("w") * F.col("p"))
+    u, t = F.col("u"), F.col("node")
+    g = rows.groupBy("score").agg(F.sum(u).alias("z"), F.sum(u * t).alias("m"), F.sum(u * t * t).alias("s"))
+    theta = F.col("m") / F.col("z")
+    return g.select("score", theta.alias("theta"), F.sqrt(F.greatest(F.col("s") / F.col("z") - theta * theta, F.lit(0.0))).alias("se"))
+
+
+def characteristic_curve(bank: DataFrame, low: float = -4, high: float = 4, n: int = 81) -> DataFrame:
+    """theta, the expected sum score and its standard deviation under the three-parameter bank."""
+    grid = bank.sparkSession.range(n).select((F.lit(low) + (high - low) * F.col("id") / (n - 1)).alias("theta"))
+    p = irf.p_3pl(F.col("theta"), F.col("a"), F.col("b"), F.col("c"))
+    return grid.join(F.broadcast(bank)).groupBy("theta").agg(F.sum(p).alias("expected"), F.sqrt(F.sum(p * (1 - p))).alias("sd"))

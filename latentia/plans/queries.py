@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.special import normal_quadrature
-from latentia.operators import adaptive, bias, classical, fit, scoring
+from latentia.operators import adaptive, bias, classical, diagnosis, fit, scoring, summaries
 from latentia.sources import responses as src
 from latentia.streaming import tracing
 
@@ -168,6 +168,65 @@ def reliable_change(spark, d):
     return rounded(classical.reliable_change(s, 0.8), "rci")
 
 
+def null_models(spark, d):
+    m = summaries.information_criteria(summaries.null_models(src.dichotomous(spark, d)))
+    return rounded(m, "log_likelihood", "aic", "bic", "sabic", "aicc", "caic", "weight", digits=4)
+
+
+def moment_fit(spark, d):
+    return rounded(summaries.moment_fit(_scored(spark, d), 14), "statistic")
+
+
+def empirical_reliability(spark, d):
+    return rounded(summaries.empirical_reliability(scoring.eap(src.dichotomous(spark, d), src.bank(spark))), "reliability")
+
+
+def marginal_reliability(spark, d):
+    return rounded(summaries.marginal_reliability(src.bank(spark), scoring.quadrature(spark)), "reliability")
+
+
+def rubin(spark, d):
+    """The parts of the persons by remainder of five stand for imputations."""
+    g = src.dichotomous(spark, d).groupBy("item_id", (F.col("person_id") % 5).alias("part")).agg(F.avg("resp").alias("q"), (F.var_samp("resp") / F.count("resp")).alias("u"))
+    return rounded(summaries.rubin(g, "item_id"), "estimate", "within", "between", "total", "lambda", "fmi").drop("df")
+
+
+def weight_efficiency(spark, d):
+    w = src.dichotomous(spark, d).groupBy("person_id").agg((1.0 + F.count("resp")).alias("w"))
+    return rounded(summaries.weight_efficiency(w), "ess", "deff")
+
+
+def completeness(spark, d):
+    return summaries.completeness(src.dichotomous(spark, d), 7)
+
+
+def empirical_bins(spark, d):
+    return rounded(summaries.empirical_bins(_scored(spark, d)), "observed", "expected")
+
+
+def mastery(spark, d):
+    """Three attributes; the bits of an item's number are those it needs."""
+    return rounded(diagnosis.mastery_posterior(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3, 0.1, 0.2), "posterior", "p0", "p1", "p2")
+
+
+def area_between(spark, d):
+    new = src.bank(spark).withColumn("b", F.col("b") + 0.2 * F.col("item_id") - 0.7).withColumn("a", F.col("a") * 1.1)
+    return rounded(bias.area_between(src.bank(spark), new), "signed", "unsigned")
+
+
+def crossing_sibtest(spark, d):
+    r = src.dichotomous(spark, d)
+    return rounded(bias.crossing_sibtest(r, _groups(r)), "beta_low", "beta_high", "beta_crossing")
+
+
+def eap_by_sum(spark, d):
+    return rounded(scoring.eap_by_sum(src.bank(spark)), "theta", "se")
+
+
+def characteristic_curve(spark, d):
+    return rounded(scoring.characteristic_curve(src.bank(spark)), "theta", "expected", "sd")
+
+
 def calibration(spark, d):
     """Two-parameter calibration; rows only, as EM has no SQL form."""
     from latentia.operators.calibrate import fit_2pl
@@ -175,7 +234,7 @@ def calibration(spark, d):
     return rounded(fit_2pl(src.dichotomous(spark, d), max_iter=10).bank(spark), "a", "b", "se_a", "se_b", digits=4)
 
 
-QUERIES = {f"irt_{f.__name__}": f for f in (itemstats, item_rest, alpha, alpha_if_deleted, missing, pairwise_counts, impute_values, patterns, dichotomise, key_to_binary, reverse, item_fit, person_fit, residuals, q3, ld_chi2, binned_fit, eap, information, sum_scores, mantel_haenszel, sibtest, group_residuals, linking, drift, next_item, knowledge_tracing, reliable_change, calibration)}
+QUERIES = {f"irt_{f.__name__}": f for f in (itemstats, item_rest, alpha, alpha_if_deleted, missing, pairwise_counts, impute_values, patterns, dichotomise, key_to_binary, reverse, item_fit, person_fit, residuals, q3, ld_chi2, binned_fit, eap, information, sum_scores, mantel_haenszel, sibtest, group_residuals, linking, drift, next_item, knowledge_tracing, reliable_change, null_models, moment_fit, empirical_reliability, marginal_reliability, rubin, weight_efficiency, completeness, empirical_bins, mastery, area_between, crossing_sibtest, eap_by_sum, characteristic_curve, calibration)}
 
 _x, _w = normal_quadrature(21)
 QUAD = "quad(node, w) as (values " + ", ".join(f"({float(a)!r}::double, {float(b)!r}::double)" for a, b in zip(_x, _w, strict=True)) + ")"
@@ -189,6 +248,9 @@ def _sums(x: str, y: str) -> str:
 
 TOTALS = "t as (select *, sum(resp) over (partition by person_id) as total from r)"
 GROUPED = "t as (select r.*, person_id % 2 as g, sum(resp) over (partition by person_id) as s from r)"
+WALK = "walk(k, node, w, score, p) as (select 0, node, w, 0, 1.0::double from quad union all select k+1, node, w, score + x, sum(pp) from (select k, node, w, score, x, p * case when x=1 then " + P + " else 1-" + P + " end as pp from walk join bank on item_id=k+1, (values (0),(1)) v(x)) group by k, node, w, score + x)"
+EAP = "l as (select person_id, node, ln(max(w)) + sum(case when resp=1 then ln(least(greatest(" + P + ",1e-10),1-1e-10)) else ln(1-least(greatest(" + P + ",1e-10),1-1e-10)) end) as ll from r join bank using (item_id), quad group by 1,2), e as (select person_id, node, exp(ll - max(ll) over (partition by person_id)) as u from l), m as (select person_id, sum(u*node)/sum(u) as theta from e group by 1), sc as (select person_id, max(theta) as theta, sqrt(sum(u*(node-theta)^2)/sum(u)) as se from e join m using (person_id) group by 1)"
+BINS = "tt as (select person_id, sum(resp)::double as total from s group by 1), ed as (select quantile_cont(total,0.2) as q1, quantile_cont(total,0.4) as q2, quantile_cont(total,0.6) as q3, quantile_cont(total,0.8) as q4 from tt), bb as (select person_id, cast((total>=q1)::int+(total>=q2)::int+(total>=q3)::int+(total>=q4)::int as int) as bin from tt, ed)"
 OLD_NEW = "o as (select item_id, a as ao, b as bo from bank)"
 
 ORACLES = {
@@ -209,9 +271,9 @@ ORACLES = {
     "irt_q3": f"with {SCORED}, x as (select i.item_id as item_i, j.item_id as item_j, {_sums('i.z', 'j.z')} from s i join s j on i.person_id=j.person_id and i.item_id<j.item_id group by 1,2) select item_i, item_j, n::bigint as n, round(case when n>2 then {CORR} else 0 end,6) as q3 from x",
     "irt_ld_chi2": f"with {SCORED}, x as (select i.item_id as item_i, j.item_id as item_j, count(*) as n, " + ", ".join(f"count(*) filter (i.resp={a} and j.resp={b}) as o{a}{b}, greatest(sum({'i.p' if a else '(1-i.p)'}*{'j.p' if b else '(1-j.p)'}),0.5) as e{a}{b}" for a in (0, 1) for b in (0, 1)) + " from s i join s j on i.person_id=j.person_id and i.item_id<j.item_id group by 1,2) select item_i, item_j, n, round(case when n>=10 then " + "+".join(f"(o{k}-e{k})^2/e{k}" for k in ("00", "01", "10", "11")) + " end,6) as chi2, round(case when n>=10 then 2*(" + "+".join(f"case when o{k}>0 then o{k}*ln(o{k}/e{k}) else 0 end" for k in ("00", "01", "10", "11")) + ") end,6) as g2 from x",
     "irt_binned_fit": f"with {SCORED}, tt as (select person_id, sum(resp)::double as total from s group by 1), e as (select quantile_cont(total,0.2) as q1, quantile_cont(total,0.4) as q2, quantile_cont(total,0.6) as q3, quantile_cont(total,0.8) as q4 from tt), bb as (select person_id, (total>=q1)::int+(total>=q2)::int+(total>=q3)::int+(total>=q4)::int as bin from tt, e), c as (select item_id, bin, count(*) as n, avg(resp) as o, least(greatest(avg(p),0.01),0.99) as ex from s join bb using (person_id) group by 1,2 having count(*)>=5) select item_id, round(sum(n*(o-ex)^2/(ex*(1-ex))),5) as chi2, greatest(count(*)-1,1)::bigint as df from c group by 1",
-    "irt_eap": f"with {A1}, {BANK}, {QUAD}, l as (select person_id, node, ln(max(w)) + sum(case when resp=1 then ln(least(greatest({P},1e-10),1-1e-10)) else ln(1-least(greatest({P},1e-10),1-1e-10)) end) as ll from r join bank using (item_id), quad group by 1,2), e as (select person_id, node, exp(ll - max(ll) over (partition by person_id)) as u from l), m as (select person_id, sum(u*node)/sum(u) as theta from e group by 1) select person_id, round(max(theta),6) as theta, round(sqrt(sum(u*(node-theta)^2)/sum(u)),6) as se from e join m using (person_id) group by 1",
+    "irt_eap": f"with {A1}, {BANK}, {QUAD}, {EAP} select person_id, round(theta,6) as theta, round(se,6) as se from sc",
     "irt_information": f"with {BANK}, grid as (select -4 + 8*i/80.0::double as node from range(81) t(i)) select round(node,6) as theta, round(sum(a*a*{P}*(1-{P})),6) as information, round(1/sqrt(sum(a*a*{P}*(1-{P}))),6) as se from grid, bank group by node",
-    "irt_sum_scores": f"with recursive {BANK}, {QUAD}, walk(k, node, w, score, p) as (select 0, node, w, 0, 1.0::double from quad union all select k+1, node, w, score + x, sum(pp) from (select k, node, w, score, x, p * case when x=1 then {P} else 1-{P} end as pp from walk join bank on item_id=k+1, (values (0),(1)) v(x)) group by k, node, w, score + x) select cast(score as int) as score, round(sum(w*p),9) as p from walk where k=7 group by 1",
+    "irt_sum_scores": f"with recursive {BANK}, {QUAD}, {WALK} select cast(score as int) as score, round(sum(w*p),9) as p from walk where k=7 group by 1",
     "irt_mantel_haenszel": f"with {A1}, {GROUPED}, c as (select item_id, s, count(*) filter (g=0 and resp=1)::double as a, count(*) filter (g=0 and resp=0)::double as b, count(*) filter (g=1 and resp=1)::double as c, count(*) filter (g=1 and resp=0)::double as d, count(*)::double as n from t group by 1,2 having count(*)>1), k as (select item_id, sum(a) as sa, sum((a+b)*(a+c)/n) as ea, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) as va, sum(a*d/n) as up, sum(b*c/n) as down from c group by 1) select item_id, round(case when va>0 then (abs(sa-ea)-0.5)^2/va else 0 end,6) as chi2, round(case when down>0 then up/down else 1 end,6) as odds from k",
     "irt_sibtest": f"with {A1}, {GROUPED}, c as (select item_id, s-resp as k, avg(resp) filter (g=0) as mr, avg(resp) filter (g=1) as mf, count(*) filter (g=0)::double as nr, count(*) filter (g=1)::double as nf from t group by 1,2 having count(*) filter (g=0)>0 and count(*) filter (g=1)>0) select item_id, round(sum(2*nr*nf/(nr+nf)*(mr-mf))/sum(2*nr*nf/(nr+nf)),6) as beta, count(*) as n_scores from c group by 1",
     "irt_group_residuals": f"with {SCORED}, q as (select item_id, person_id%2 as g, count(*) as n, avg(resp-p) as mrr, avg((resp-p)^2) as msr, var_samp(resp-p) as vr from s group by 1,2), c as (select item_id, sum(n*mrr)/sum(n) as centre from q group by 1) select item_id, round(sum(case when vr>0 then (mrr-centre)^2*n/vr else 0 end),6) as grdif_r, round(max(msr),6) as max_msr from q join c using (item_id) group by 1",
@@ -220,4 +282,17 @@ ORACLES = {
     "irt_next_item": f"with {A1}, {BANK}, {THETA}, f as (select t.person_id, k.item_id, a*a*(1/(1+exp(-(a*(theta-b)))))*(1-1/(1+exp(-(a*(theta-b))))) as info from theta t, bank k where not exists (select 1 from r where r.person_id=t.person_id and r.item_id=k.item_id)), n as (select *, row_number() over (partition by person_id order by info desc, item_id) as place from f) select person_id, place::int as place, item_id, round(info,6) as information from n where place=1",
     "irt_knowledge_tracing": "with recursive e as (select user_id as person_id, event_type as skill, case when value > 35 then 1 else 0 end as resp, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events), w(person_id, skill, k, m) as (select person_id, skill, 0::bigint, 0.3::double from e where k=1 union all select e.person_id, e.skill, e.k, a*0.98+(1-a)*0.2 from (select w.person_id, w.skill, w.k as k0, m*(case when resp=1 then 0.9 else 0.1 end)/(m*(case when resp=1 then 0.9 else 0.1 end)+(1-m)*(case when resp=1 then 0.25 else 0.75 end)) as a, e.k from w join e on e.person_id=w.person_id and e.skill=w.skill and e.k=w.k+1) e) select person_id, skill, max(k) as n, round(arg_max(m,k),6) as mastery from w group by 1,2",
     "irt_reliable_change": f"with {A1}, c as (select person_id, coalesce(sum(resp) filter (item_id%2=1),0)::double as pre, coalesce(sum(resp) filter (item_id%2=0),0)::double as post from r group by 1), d as (select stddev_samp(pre) as sd from c), x as (select person_id, (post-pre)/(sd*sqrt(0.2)*sqrt(2)) as rci from c, d) select person_id, round(rci,6) as rci, case when rci>1.96 then 'improved' when rci<-1.96 then 'declined' else 'unchanged' end as change from x",
+    "irt_null_models": f"with {A1}, i as (select item_id, count(*)::double as seen, sum(resp)::double as rt from r group by 1), c as (select *, least(greatest(rt/seen,1e-10),1-1e-10) as p, sum(rt) over ()/sum(seen) over () as q from i), np as (select count(distinct person_id) as n from r), mo as (select 'independence' as model, sum(rt*ln(p)+(seen-rt)*ln(1-p)) as ll, count(*) as k from c union all select 'pooled', sum(rt*ln(q)+(seen-rt)*ln(1-q)), 1 from c), x as (select *, -2*ll+2*k as a from mo, np) select model, round(ll,4) as log_likelihood, k, n, round(a,4) as aic, round(-2*ll+k*ln(n),4) as bic, round(-2*ll+k*ln((n+2)/24.0),4) as sabic, round(-2*ll+k*(ln(n)+1),4) as caic, round(case when n-k-1>0 then a+2*k*(k+1)/(n-k-1)::double end,4) as aicc, round(exp((min(a) over ()-a)/2)/(select sum(exp((y.least-x2.a)/2)) from x x2, (select min(a) as least from x) y),4) as weight from x",
+    "irt_moment_fit": f"with {SCORED}, u as (select count(*) as n, avg(resp)-avg(p) as d from s group by item_id union all select count(*), avg(i.resp*j.resp)-avg(i.p*j.p) from s i join s j on i.person_id=j.person_id and i.item_id<j.item_id group by i.item_id, j.item_id) select round(sum(n*d*d),6) as statistic, greatest(count(*)-14,1)::bigint as df from u",
+    "irt_empirical_reliability": f"with {A1}, {BANK}, {QUAD}, {EAP} select round(var_samp(theta)/(var_samp(theta)+avg(se*se)),6) as reliability from sc",
+    "irt_marginal_reliability": f"with {BANK}, {QUAD}, i as (select node, max(w) as w, sum(a*a*{P}*(1-{P})) as info from quad, bank group by 1), v as (select sum(w*node*node)/sum(w)-(sum(w*node)/sum(w))^2 as v from quad) select round(sum(w*info/(info+1/v))/sum(w),6) as reliability from i, v",
+    "irt_rubin": f"with {A1}, e as (select item_id, person_id%5 as part, avg(resp) as q, var_samp(resp)/count(resp) as u from r group by 1,2), g as (select item_id, count(*) as m, avg(q) as qb, avg(u) as ub, coalesce(var_samp(q),0) as b from e group by 1), h as (select *, (1+1.0::double/m)*b as x from g), k as (select *, case when ub+x>0 then x/(ub+x) else 0 end as la, case when x>0 then (m-1)*(1+ub/x)^2 else 1e10 end as dfr from h) select item_id, round(qb,6) as estimate, round(ub,6) as within, round(b,6) as between, round(ub+x,6) as total, round(la,6) as lambda, round(least(greatest(la+2/(dfr+3)*(1-la),0),1),6) as fmi from k".replace("as within", 'as "within"').replace("as between", 'as "between"'),
+    "irt_weight_efficiency": f"with {A1}, w as (select 1.0::double+count(resp) as w from r group by person_id) select count(*) as n, round(sum(w)^2/sum(w*w),6) as ess, round(count(*)/(sum(w)^2/sum(w*w)),6) as deff from w",
+    "irt_completeness": f"with {A1}, p as (select count(resp) as observed from r group by person_id) select observed, count(*) as persons, cast(max(case when observed=7 then 1 else 0 end) as int) as complete from p group by 1",
+    "irt_empirical_bins": f"with {SCORED}, {BINS} select item_id, bin, count(*) as n, round(avg(resp),6) as observed, round(avg(p),6) as expected from s join bb using (person_id) group by 1,2",
+    "irt_mastery": f"with {A1}, l as (select person_id, k, sum(ln(case when resp=1 then x else 1-x end)) as ll from (select person_id, resp, k, case when (k & item_id)=item_id then 0.9::double else 0.2::double end as x from r, range(8) t(k)) group by 1,2), e as (select person_id, k, exp(ll-max(ll) over (partition by person_id)) as u from l), p as (select person_id, k, round(u/sum(u) over (partition by person_id),9) as post from e), o as (select *, row_number() over (partition by person_id order by post desc, k) as place from p) select person_id, cast(max(k) filter (place=1) as int) as profile, round(max(post),6) as posterior, round(sum(post*(k & 1)),6) as p0, round(sum(post*((k >> 1) & 1)),6) as p1, round(sum(post*((k >> 2) & 1)),6) as p2 from o group by 1",
+    "irt_area_between": f"with {BANK}, g as (select item_id, i, -4+i*(8/99.0::double) as t, a, b, a*1.1::double as an, b+0.2::double*item_id-0.7::double as bn from bank, range(100) x(i)), d as (select item_id, case when i in (0,99) then 4/99.0::double else 8/99.0::double end as w, 1/(1+exp(-(a*(t-b))))-1/(1+exp(-(an*(t-bn)))) as gap from g) select item_id, round(sum(w*gap),6) as signed, round(sum(w*abs(gap)),6) as unsigned from d group by 1".replace("as signed", 'as "signed"').replace("as unsigned", 'as "unsigned"'),
+    "irt_crossing_sibtest": f"with {A1}, {GROUPED}, q as (select item_id, s-resp as k, resp, g from t), md as (select item_id, median(k) as middle from q group by 1), c as (select item_id, k, avg(resp) filter (g=0)-avg(resp) filter (g=1) as d, 2.0::double*count(*) filter (g=0)*count(*) filter (g=1)/count(*) as w from q group by 1,2 having count(*) filter (g=0)>0 and count(*) filter (g=1)>0), h as (select item_id, coalesce(sum(w*d) filter (k<=middle)/sum(w) filter (k<=middle),0) as lo, coalesce(sum(w*d) filter (k>middle)/sum(w) filter (k>middle),0) as hi from c join md using (item_id) group by 1) select item_id, round(lo,6) as beta_low, round(hi,6) as beta_high, round(hi-lo,6) as beta_crossing from h",
+    "irt_eap_by_sum": f"with recursive {BANK}, {QUAD}, {WALK}, z as (select score, sum(w*p) as z, sum(w*p*node)/sum(w*p) as m, sum(w*p*node*node)/sum(w*p) as s2 from walk where k=7 group by 1) select cast(score as int) as score, round(m,6) as theta, round(sqrt(greatest(s2-m*m,0)),6) as se from z",
+    "irt_characteristic_curve": f"with {BANK}, grid as (select -4 + 8*i/80.0::double as node from range(81) t(i)), p as (select node, 0.1::double+0.9::double*{P} as p from grid, bank) select round(node,6) as theta, round(sum(p),6) as expected, round(sqrt(sum(p*(1-p))),6) as sd from p group by node",
 }
