@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions.special import normal_quadrature
-from latentia.operators import adaptive, bias, classical, diagnosis, fit, scoring, summaries
+from latentia.operators import adaptive, bias, classical, comparison, diagnosis, fit, graded, scoring, summaries
 from latentia.sources import responses as src
 from latentia.streaming import tracing
 
@@ -227,6 +227,38 @@ def characteristic_curve(spark, d):
     return rounded(scoring.characteristic_curve(src.bank(spark)), "theta", "expected", "sd")
 
 
+def _graded_bank(spark: SparkSession) -> DataFrame:
+    return src.bank(spark).withColumn("steps", F.array(F.col("b") - 0.5, F.col("b"), F.col("b") + 0.5))
+
+
+def partial_credit_fit(spark, d):
+    r = src.graded(spark, d)
+    theta = r.groupBy("person_id").agg((4.0 * F.sum("resp") / (3.0 * F.count("resp")) - 2.0).alias("theta"))
+    return rounded(graded.partial_credit_fit(r, _graded_bank(spark), theta), "infit", "outfit")
+
+
+def graded_eap(spark, d):
+    return rounded(graded.graded_eap(src.graded(spark, d), _graded_bank(spark)), "theta", "se")
+
+
+def adjacent(spark, d):
+    return graded.adjacent(src.graded(spark, d), 3).groupBy("item_id", "step").agg(F.sum("resp").alias("n_right"), F.count(F.lit(1)).alias("n"))
+
+
+def category_counts(spark, d):
+    return graded.category_counts(src.graded(spark, d))
+
+
+def vuong(spark, d):
+    r = src.dichotomous(spark, d)
+    flat = fit.scored(r, src.bank(spark).withColumn("a", F.lit(1.0)), theta_by_score(r))
+    return rounded(comparison.vuong(_scored(spark, d), flat), "mean", "sd", "z")
+
+
+def held_out_likelihood(spark, d):
+    return rounded(comparison.held_out_likelihood(src.dichotomous(spark, d), 5), "log_likelihood", digits=4)
+
+
 def calibration(spark, d):
     """Two-parameter calibration; rows only, as EM has no SQL form."""
     from latentia.operators.calibrate import fit_2pl
@@ -234,7 +266,7 @@ def calibration(spark, d):
     return rounded(fit_2pl(src.dichotomous(spark, d), max_iter=10).bank(spark), "a", "b", "se_a", "se_b", digits=4)
 
 
-QUERIES = {f"irt_{f.__name__}": f for f in (itemstats, item_rest, alpha, alpha_if_deleted, missing, pairwise_counts, impute_values, patterns, dichotomise, key_to_binary, reverse, item_fit, person_fit, residuals, q3, ld_chi2, binned_fit, eap, information, sum_scores, mantel_haenszel, sibtest, group_residuals, linking, drift, next_item, knowledge_tracing, reliable_change, null_models, moment_fit, empirical_reliability, marginal_reliability, rubin, weight_efficiency, completeness, empirical_bins, mastery, area_between, crossing_sibtest, eap_by_sum, characteristic_curve, calibration)}
+QUERIES = {f"irt_{f.__name__}": f for f in (itemstats, item_rest, alpha, alpha_if_deleted, missing, pairwise_counts, impute_values, patterns, dichotomise, key_to_binary, reverse, item_fit, person_fit, residuals, q3, ld_chi2, binned_fit, eap, information, sum_scores, mantel_haenszel, sibtest, group_residuals, linking, drift, next_item, knowledge_tracing, reliable_change, null_models, moment_fit, empirical_reliability, marginal_reliability, rubin, weight_efficiency, completeness, empirical_bins, mastery, area_between, crossing_sibtest, eap_by_sum, characteristic_curve, partial_credit_fit, graded_eap, adjacent, category_counts, vuong, held_out_likelihood, calibration)}
 
 _x, _w = normal_quadrature(21)
 QUAD = "quad(node, w) as (values " + ", ".join(f"({float(a)!r}::double, {float(b)!r}::double)" for a, b in zip(_x, _w, strict=True)) + ")"
@@ -295,4 +327,10 @@ ORACLES = {
     "irt_crossing_sibtest": f"with {A1}, {GROUPED}, q as (select item_id, s-resp as k, resp, g from t), md as (select item_id, median(k) as middle from q group by 1), c as (select item_id, k, avg(resp) filter (g=0)-avg(resp) filter (g=1) as d, 2.0::double*count(*) filter (g=0)*count(*) filter (g=1)/count(*) as w from q group by 1,2 having count(*) filter (g=0)>0 and count(*) filter (g=1)>0), h as (select item_id, coalesce(sum(w*d) filter (k<=middle)/sum(w) filter (k<=middle),0) as lo, coalesce(sum(w*d) filter (k>middle)/sum(w) filter (k>middle),0) as hi from c join md using (item_id) group by 1) select item_id, round(lo,6) as beta_low, round(hi,6) as beta_high, round(hi-lo,6) as beta_crossing from h",
     "irt_eap_by_sum": f"with recursive {BANK}, {QUAD}, {WALK}, z as (select score, sum(w*p) as z, sum(w*p*node)/sum(w*p) as m, sum(w*p*node*node)/sum(w*p) as s2 from walk where k=7 group by 1) select cast(score as int) as score, round(m,6) as theta, round(sqrt(greatest(s2-m*m,0)),6) as se from z",
     "irt_characteristic_curve": f"with {BANK}, grid as (select -4 + 8*i/80.0::double as node from range(81) t(i)), p as (select node, 0.1::double+0.9::double*{P} as p from grid, bank) select round(node,6) as theta, round(sum(p),6) as expected, round(sqrt(sum(p*(1-p))),6) as sd from p group by node",
+    "irt_partial_credit_fit": f"with {A2}, {BANK}, th as (select person_id, 4.0::double*sum(resp)/(3.0::double*count(resp))-2 as t from g group by 1), e as (select item_id, resp, exp(a*(t-b+0.5)) as e1, exp(a*(2*t-2*b+0.5)) as e2, exp(a*(3*t-3*b)) as e3 from g join bank using (item_id) join th using (person_id)), m as (select item_id, resp, (e1+2*e2+3*e3)/(1+e1+e2+e3) as ex, (e1+4*e2+9*e3)/(1+e1+e2+e3) as sq from e), v as (select *, greatest(sq-ex*ex,0) as v from m) select item_id, count(*) as n, round(sum((resp-ex)^2)/sum(v),6) as infit, round(avg((resp-ex)^2/v) filter (v>1e-10),6) as outfit from v group by 1",
+    "irt_graded_eap": f"with {A2}, {BANK}, {QUAD}, pr as (select person_id, node, w, least(greatest(case when resp=0 then 1 else 1/(1+exp(-(a*(node-(b-1.0::double+0.5::double*resp))))) end - case when resp=3 then 0 else 1/(1+exp(-(a*(node-(b-0.5::double+0.5::double*resp))))) end,1e-10),1-1e-10) as p from g join bank using (item_id), quad), l as (select person_id, node, ln(max(w))+sum(ln(p)) as ll from pr group by 1,2), e as (select person_id, node, exp(ll-max(ll) over (partition by person_id)) as u from l), m as (select person_id, sum(u*node)/sum(u) as theta from e group by 1) select person_id, round(max(theta),6) as theta, round(sqrt(sum(u*(node-theta)^2)/sum(u)),6) as se from e join m using (person_id) group by 1",
+    "irt_adjacent": f"with {A2} select item_id, cast(k as int) as step, cast(sum(case when resp>=k then 1 else 0 end) as bigint) as n_right, count(*) as n from g, range(1,4) t(k) group by 1,2",
+    "irt_category_counts": f"with {A2} select item_id, resp, count(*) as n from g group by 1,2",
+    "irt_vuong": f"with {SCORED}, fl as (select person_id, resp, least(greatest(1/(1+exp(-(theta-b))),1e-10),1-1e-10) as p from r join bank using (item_id) join theta using (person_id)), l1 as (select person_id, sum(ll) as x from s group by 1), l2 as (select person_id, sum(case when resp=1 then ln(p) else ln(1-p) end) as y from fl group by 1), d as (select x-y as d from l1 join l2 using (person_id)) select count(*) as n, round(avg(d),6) as mean, round(stddev_samp(d),6) as sd, round(sqrt(count(*))*avg(d)/stddev_samp(d),6) as z from d",
+    "irt_held_out_likelihood": f"with {A1}, c as (select item_id, cast(person_id%5 as int) as fold, count(*) as n, sum(resp) as k from r group by 1,2), t as (select *, (sum(k) over (partition by item_id)-k)::double/(sum(n) over (partition by item_id)-n) as p from c), q as (select fold, n, k, least(greatest(coalesce(p,0.5),1e-10),1-1e-10) as p from t) select fold, cast(sum(n) as bigint) as n, round(sum(k*ln(p)+(n-k)*ln(1-p)),4) as log_likelihood from q group by 1",
 }
