@@ -261,6 +261,33 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.without_duplicate_lines(empty).count() == 0
 
 
+def test_lines_with_several_typos_are_linked(spark):
+    """Three changed words of eight, one word more, and one word split; words are short, so blocks stand for little text."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(4, 8))))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(8 + 4 * (i % 3))]
+        few = w.copy()
+        for k in rng.choice(8, 3, replace=False):
+            few[k] = few[k][:1] + "z" + few[k][2:]
+        split = w.copy()
+        split[i % 8] = split[i % 8][:2] + " " + split[i % 8][2:]
+        more = w[: i % 8] + ["of"] + w[i % 8 :]
+        rows += [(4 * i + j, " ".join(x)) for j, x in enumerate((w, few, split, more))]
+    got = {r.id: r.keeper_id for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 4 for i in range(160) if i % 4}
+
+
+def test_letter_parities_bound_the_edits():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        a, b = ("".join(rng.choice(list("abé "), int(n))) for n in rng.integers(1, 40, 2))
+        chars, bits = line_dedup.letter_parities([a, b])
+        assert chars.tolist() == [len(a), len(b)]
+        assert int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum()) <= 4 * line_dedup.edit_distance(a, b, 100)
+
+
 def test_quality_statistics(docs, empty):
     rows = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
     text = {r.doc_id: r.text or "" for r in rows.collect()}
