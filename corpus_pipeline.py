@@ -17,7 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_duplicate_lines(docs)
+    """Equal lines of any length go, and near ones of 8 words or more."""
+    return line_dedup.without_duplicate_lines(docs, exact_words=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,6 +288,18 @@ def test_letter_parities_bound_the_edits():
         assert int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum()) <= 4 * line_dedup.edit_distance(a, b, 100)
 
 
+def test_equal_short_lines(spark, tmp_path):
+    """The query and the pipeline stage group equal lines of one word or more; lines without a word stay."""
+    import corpus_pipeline
+
+    rows = [(1, "And so on.\n\n--\nSIX words, they end right here"), (2, "six words they end right here!\nand so on\n--\n\nown"), (3, "own"), (4, "Own word\nnot own words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed_lines for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [0], 4: []}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == {1: rows[0][1], 2: "--\n\nown", 4: rows[3][1]}
+
+
 def test_quality_statistics(docs, empty):
     rows = docs.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
     text = {r.doc_id: r.text or "" for r in rows.collect()}
