@@ -32,9 +32,6 @@ from latentia.llm.token_count import worker_store
 REGISTERS = 128
 BAND_ROWS = 5
 SHINGLE = 5
-#: A pair is verified if so many registers agree in their last four bits; at 85 % likeness about 111 do, give or take 3.
-LEAST_AGREEING = 98
-PLANES = [f"p{i}" for i in range(8)]
 #: Words of a set's parity sketch.
 PARITIES = [f"q{i}" for i in range(8)]
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,23 +81,6 @@ def bands(registers: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return mix(out + np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-def planes(registers: np.ndarray) -> np.ndarray:
-    """The last four bits of 128 registers as 8 words: two for each bit."""
-    bits = [np.packbits(((registers >> U(i)) & U(1)).astype(bool), axis=1).view(np.int64) for i in range(4)]
-    return np.column_stack(bits)
-
-
-def agree(a: str, b: str) -> Column:
-    """Whether enough registers of both sides are equal."""
-    for half in (0, 1):
-        differs = None
-        for bit in range(4):
-            x = F.col(f"{a}p{2 * bit + half}").bitwiseXOR(F.col(f"{b}p{2 * bit + half}"))
-            differs = x if differs is None else differs.bitwiseOR(x)
-        total = F.bit_count(differs) if half == 0 else total + F.bit_count(differs)
-    return total <= REGISTERS - LEAST_AGREEING
-
-
 def parities(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each row, whether an even or odd number of its shingles falls on each of 512 bits, as 8 words.
 
@@ -131,7 +111,7 @@ def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int = 256) -> DataFrame:
-    """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band), bit planes of the signature and parities of the set."""
+    """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and parities of the set."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
@@ -145,12 +125,12 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int
                 values, starts = shingles(*buffers(part.column("_text")), store["words in lower case"])
                 n = np.diff(starts)
                 registers = signatures(values, starts)
-                keys, bits = bands(registers).view(np.int64), np.hstack([planes(registers), parities(values, starts)])
+                keys, bits = bands(registers).view(np.int64), parities(values, starts)
                 at = np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]
                 node = pa.array(set_key(values, starts).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PLANES + PARITIES)})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PARITIES)})
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PLANES + PARITIES))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -215,8 +195,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
     table = keep(signature_table(docs, id_col, text_col))
     nodes = table.where("node is not null")
-    payload = ("n_shingles", *PLANES, *PARITIES)
-    near = may_be_near(threshold)
+    payload = ("n_shingles", *PARITIES)
     traits = nodes.select("node", "buckets", *payload).dropDuplicates(["node"])
     members = shared_buckets(keep(traits.select(F.posexplode("buckets").alias("pos", "bucket"), "node")))
     before = F.slice(F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")), F.lit(1), F.col("pos"))
@@ -224,7 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = members.select("node").distinct()
     wanted = nodes.select("node", "id").groupBy("node").agg(F.min("id").alias("id")).join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), lambda a, b: near(a, b) & agree(a, b), payload)
+    comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), may_be_near(threshold), payload)
     labelled = table.select("id", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
     out = labelled.join(first, "comp", "left")

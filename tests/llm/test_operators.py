@@ -234,6 +234,27 @@ def test_superminhash_estimates():
     assert (near_dedup.signatures(values[:1], np.array([0, 1])) != near_dedup.FREE).all()
 
 
+def test_pairs_whose_registers_agree_little_are_still_compared(spark, monkeypatch):
+    """Only sizes and parities may rule a pair out: here half of all registers differ, and one band is shared."""
+    real = near_dedup.signatures
+
+    def spoiled(values, starts, m=near_dedup.REGISTERS):
+        out = real(values, starts, m)
+        out[:, m // 2 :] = near_dedup.mix(out[:, m // 2 :] + near_dedup.set_key(values, starts)[:, None])
+        return out
+
+    w = [f"v{i}" for i in range(400)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:390], *[f"u{i}" for i in range(10)]]))]
+    monkeypatch.setattr(near_dedup, "signatures", spoiled)
+    table = near_dedup.signature_table(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    a, b = table
+    assert set(a.buckets) & set(b.buckets)
+    monkeypatch.setattr(near_dedup, "signature_table", lambda docs, *args, **kw: spark.createDataFrame(table, _schema))
+    _schema = "id long, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{q} long" for q in a.__fields__[4:])
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_edit_distance():
     def plain(a, b):
         d = list(range(len(b) + 1))
