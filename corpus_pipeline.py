@@ -22,8 +22,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return near_dedup.without_near_duplicates(docs)
+    """One document of each group stays; a likeness of 0.8 links."""
+    return near_dedup.without_near_duplicates(docs, threshold=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,8 @@ from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import worker_store
 
 REGISTERS = 128
-BAND_ROWS = 5
+#: Bands are so wide at most that a pair at the threshold shares none with this probability.
+MISSED = 1e-6
 SHINGLE = 5
 #: Words of a set's parity sketch.
 PARITIES = [f"q{i}" for i in range(8)]
@@ -73,7 +74,13 @@ def signatures(values: np.ndarray, starts: np.ndarray, m: int = REGISTERS) -> np
     return out.reshape(n_rows, m)
 
 
-def bands(registers: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
+def band_rows(threshold: int, m: int = REGISTERS) -> int:
+    """Registers of a band for a threshold in per cent."""
+    fits = [r for r in range(1, m + 1) if (1 - (threshold / 100) ** r) ** (m // r) <= MISSED]
+    return max(fits, default=1)
+
+
+def bands(registers: np.ndarray, rows: int) -> np.ndarray:
     n = registers.shape[1] // rows
     out = np.zeros((len(registers), n), U)
     for i in range(rows):
@@ -110,10 +117,11 @@ def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(U) * U(0xE7037ED1A0B428DB))
 
 
-def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int = 256) -> DataFrame:
+def signature_table(docs: DataFrame, id_col: str, text_col: str, threshold: int = 85, batch_rows: int = 256) -> DataFrame:
     """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and parities of the set."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    wide = band_rows(threshold)
 
     def run(batches):
         store = worker_store()
@@ -125,7 +133,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, batch_rows: int
                 values, starts = shingles(*buffers(part.column("_text")), store["words in lower case"])
                 n = np.diff(starts)
                 registers = signatures(values, starts)
-                keys, bits = bands(registers).view(np.int64), parities(values, starts)
+                keys, bits = bands(registers, wide).view(np.int64), parities(values, starts)
                 at = np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]
                 node = pa.array(set_key(values, starts).view(np.int64), mask=n == 0)
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PARITIES)})
@@ -193,7 +201,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """Per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
-    table = keep(signature_table(docs, id_col, text_col))
+    table = keep(signature_table(docs, id_col, text_col, threshold))
     nodes = table.where("node is not null")
     payload = ("n_shingles", *PARITIES)
     traits = nodes.select("node", "buckets", *payload).dropDuplicates(["node"])

@@ -23,3 +23,17 @@ def test_empty_documents_go_through(spark, tmp_path):
         stage(spark, docs, "").write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
     assert docs.count() == 0
+
+
+def test_near_duplicates_of_four_fifths_go(spark):
+    """Pairs with a likeness of 0.80 and 0.82, below op5's threshold; bands follow the threshold."""
+    from latentia.llm import near_dedup
+
+    rows = []
+    for i in range(40):
+        w = [f"d{i}w{j}" for j in range(94)]  # 90 shingles, of which 9 or 10 fall out
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: -9 - i % 2] + [f"d{i}x{j}" for j in range(9 + i % 2)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == list(range(0, 80, 2))
+    assert near_dedup.near_groups(df).where("not kept").count() == 0
+    assert [near_dedup.band_rows(t) for t in (80, 85)] == [4, 5]
