@@ -96,7 +96,7 @@ def newton(trials: np.ndarray, right: np.ndarray, nodes: np.ndarray, a: np.ndarr
     return slope, -inter / slope, info
 
 
-def fit_2pl(responses: DataFrame, n_nodes: int = 21, max_iter: int = 60, tol: float = 1e-4) -> Fit:
+def fit_2pl(responses: DataFrame, n_nodes: int = 21, max_iter: int = 500, tol: float = 1e-4) -> Fit:
     patterns = weighted_patterns(responses).persist()
     try:
         items = sorted(r[0] for r in responses.where("resp is not null").select("item_id").distinct().collect())

@@ -260,10 +260,11 @@ def held_out_likelihood(spark, d):
 
 
 def calibration(spark, d):
-    """Two-parameter calibration; rows only, as EM has no SQL form."""
+    """Two-parameter calibration until the likelihood settles, with a column that says whether it did; rows only, as EM has no SQL form."""
     from latentia.operators.calibrate import fit_2pl
 
-    return rounded(fit_2pl(src.dichotomous(spark, d), max_iter=10).bank(spark), "a", "b", "se_a", "se_b", digits=4)
+    fitted = fit_2pl(src.dichotomous(spark, d))
+    return rounded(fitted.bank(spark), "a", "b", "se_a", "se_b", digits=4).withColumn("converged", F.lit(fitted.converged))
 
 
 QUERIES = {f"irt_{f.__name__}": f for f in (itemstats, item_rest, alpha, alpha_if_deleted, missing, pairwise_counts, impute_values, patterns, dichotomise, key_to_binary, reverse, item_fit, person_fit, residuals, q3, ld_chi2, binned_fit, eap, information, sum_scores, mantel_haenszel, sibtest, group_residuals, linking, drift, next_item, knowledge_tracing, reliable_change, null_models, moment_fit, empirical_reliability, marginal_reliability, rubin, weight_efficiency, completeness, empirical_bins, mastery, area_between, crossing_sibtest, eap_by_sum, characteristic_curve, partial_credit_fit, graded_eap, adjacent, category_counts, vuong, held_out_likelihood, calibration)}

@@ -59,6 +59,16 @@ def test_calibration_recovers_and_never_loses_likelihood(spark):
     assert np.abs(fit.b - b).max() < 0.25 and np.abs(fit.a - a).max() < 0.4
 
 
+def test_calibration_query_runs_until_it_converged(spark):
+    from latentia.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    got = queries.calibration(spark, d).collect()
+    assert len(got) == 7 and all(r.converged for r in got)
+    short = calibrate.fit_2pl(src.dichotomous(spark, d), max_iter=10)
+    assert not short.converged and np.abs(short.a - np.array([r.a for r in sorted(got, key=lambda r: r.item_id)])).max() > 0.01
+
+
 def test_wide_and_back_and_validation(spark):
     wide = spark.createDataFrame([(1, 0.0, 1.0), (2, -1.0, float("nan"))], "p long, x double, y double")
     long = src.from_wide(wide, "p", ["x", "y"])
