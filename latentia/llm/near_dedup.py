@@ -11,7 +11,9 @@ how pairs in buckets are settled. Links are confirmed on the full sets.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; repeated rows and rows that share an id are in one
-group if their sets are near; ids may be null and then stand last; an empty
+group if their sets are near; of a group the row of the least id is kept, and
+of different sets under this id the one of the least key; ids may be null, are
+treated the same way and then stand last; an empty
 table gives no rows; further columns are left out of the plan.
 """
 
@@ -118,9 +120,9 @@ def set_key(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, id_col: str, text_col: str, threshold: int = 85, batch_rows: int = 256) -> DataFrame:
-    """id, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and parities of the set."""
+    """id, text_hash, n_shingles, node (the set's key, null if it is empty), buckets (one for each band) and parities of the set."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
     wide = band_rows(threshold)
 
     def run(batches):
@@ -136,14 +138,15 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, threshold: int
                 keys, bits = bands(registers, wide).view(np.int64), parities(values, starts)
                 at = np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]
                 node = pa.array(set_key(values, starts).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PARITIES)})
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "text_hash": part.column("text_hash"), "n_shingles": pa.array(n.astype(np.int64)), "node": node, "buckets": pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))} | {p: pa.array(bits[:, j]) for j, p in enumerate(PARITIES)})
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, text_hash long, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """node and its whole sorted set as bytes, from the documents wanted (id, node)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(wanted, "id").select("node", "_text")
+    """node and its whole sorted set as bytes, from the documents wanted (id, text_hash, node)."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash"))).select("node", "_text")
 
     def run(batches):
         store = worker_store()
@@ -154,7 +157,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
                 part = batch.slice(i, 256)
                 values, starts = shingles(*buffers(part.column("_text")), store["words in lower case"])
                 key = set_key(values, starts).view(np.int64)
-                ok = key == part.column("node").to_numpy()  # another row may have the same id
+                ok = key == part.column("node").to_numpy()  # texts of one hash may differ
                 yield pa.RecordBatch.from_pydict({"node": pa.array(key[ok]), "set": pa.array([values[a:b].tobytes() for a, b, o in zip(starts[:-1], starts[1:], ok, strict=True) if o], pa.binary())})
 
     return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
@@ -199,8 +202,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return members.groupBy("block", "part").cogroup(centres.groupBy("block_c", "part_c")).applyInArrow(run, "a long, b long, ok boolean")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
+def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """Per document: id, text_hash, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
     table = keep(signature_table(docs, id_col, text_col, threshold))
     nodes = table.where("node is not null")
     payload = ("n_shingles", *PARITIES)
@@ -209,21 +212,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before = F.slice(F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")), F.lit(1), F.col("pos"))
     members = keep(members.join(traits, "node").select("bucket", "node", before.alias("before"), *payload))
     some = members.select("node").distinct()
-    wanted = nodes.select("node", "id").groupBy("node").agg(F.min("id").alias("id")).join(some, "node")
+    first_row = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
+    wanted = nodes.groupBy("node").agg(first_row.alias("k")).select("node", "k.id", "k.text_hash").join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
     comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), may_be_near(threshold), payload)
-    labelled = table.select("id", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    labelled = table.select("id", "text_hash", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("k"))
     out = labelled.join(first, "comp", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component.eqNullSafe(F.col("id")), F.lit(False)).alias("kept"))
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("k.id"))
+    kept = F.col("node").isNull() | (F.col("k.id").eqNullSafe(F.col("id")) & F.col("k.node").eqNullSafe(F.col("node")))
+    return out.select("id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the least id that links lead to), kept (it is that document)."""
+    return judged(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """docs with one document of each group: that of the least id; of rows that are equal in id and set, all stay."""
-    gone = near_groups(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col).alias("_id")).distinct()
+    gone = judged(docs, id_col, text_col, threshold).where("not kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     gone = small(keep(gone))
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_hash"]), "left_anti")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

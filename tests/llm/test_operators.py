@@ -250,11 +250,26 @@ def test_pairs_whose_registers_agree_little_are_still_compared(spark, monkeypatc
     a, b = table
     assert set(a.buckets) & set(b.buckets)
     monkeypatch.setattr(near_dedup, "signature_table", lambda docs, *args, **kw: spark.createDataFrame(table, _schema))
-    _schema = "id long, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{q} long" for q in a.__fields__[4:])
+    _schema = "id long, text_hash long, n_shingles long, node long, buckets array<long>, " + ", ".join(f"{q} long" for q in a.__fields__[5:])
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_different_texts_under_one_id(spark, shared):
+    """Two texts under a null or an equal id, one of them a copy, or near one, of another document's."""
+    w = [f"v{i}" for i in range(100)]
+    copied, own, near, two = " ".join(w), " ".join(f"o{i}" for i in range(40)), " ".join([*w[:97], "x", "y", "z"]), " ".join(f"t{i}" for i in range(60))
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rest = lambda rows: sorted(r.text for r in near_dedup.without_near_duplicates(df(rows)).collect())
+    assert rest([(1, copied), (shared, copied), (shared, own)]) == sorted([copied, own])
+    got = rest([(shared, copied), (shared, near), (shared, two)])
+    assert len(got) == 2 and two in got and (copied in got) != (near in got)
+    lines = [(1, copied), (shared, f"{copied}\nstays"), (shared, f"{own}\nstays too")]
+    out = sorted(r.text for r in line_dedup.without_duplicate_lines(df(lines)).collect())
+    assert out == sorted([copied, "stays", f"{own}\nstays too"]) or (shared is None and out == sorted([f"{copied}\nstays", f"{own}\nstays too"]))
+
+
 def test_edit_distance():
     def plain(a, b):
         d = list(range(len(b) + 1))
