@@ -14,11 +14,18 @@ def quadrature(spark: SparkSession, n: int = 21) -> DataFrame:
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, w, strict=True))], "q int, node double, w double")
 
 
+#: Most items of a bank whose parameters stand in a map of the plan.
+MAX_ITEMS = 10_000
+
+
 def eap_patterns(patterned: DataFrame, bank: DataFrame, n_nodes: int = 21) -> DataFrame:
     """pattern (array of structs item_id, resp) to theta and se. The likelihood is a fold over the pattern, so no row is made for an item."""
     spark = patterned.sparkSession
     x, w = normal_quadrature(n_nodes)
-    params = {int(r["item_id"]): (float(r["a"]), float(r["b"])) for r in bank.select("item_id", "a", "b").limit(10_001).collect()}
+    rows = bank.select("item_id", "a", "b").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items")
+    params = {int(r["item_id"]): (float(r["a"]), float(r["b"])) for r in rows}
     a = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, p[0])])
     b = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, p[1])])
     nodes = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("w")) for t, v in zip(x, w, strict=True)])

@@ -69,6 +69,16 @@ def test_calibration_query_runs_until_it_converged(spark):
     assert not short.converged and np.abs(short.a - np.array([r.a for r in sorted(got, key=lambda r: r.item_id)])).max() > 0.01
 
 
+def test_a_bank_too_large_for_scores_is_refused(spark):
+    from latentia.operators import scoring
+
+    bank = spark.range(10_001).selectExpr("cast(id as int) as item_id", "1.0D as a", "0.0D as b")
+    r = spark.createDataFrame([(1, 1, 1)], "person_id long, item_id int, resp int")
+    with pytest.raises(ValueError, match="10000 items"):
+        scoring.eap(r, bank)
+    assert scoring.eap(r, bank.where("item_id < 5")).count() == 1
+
+
 def test_wide_and_back_and_validation(spark):
     wide = spark.createDataFrame([(1, 0.0, 1.0), (2, -1.0, float("nan"))], "p long, x double, y double")
     long = src.from_wide(wide, "p", ["x", "y"])
