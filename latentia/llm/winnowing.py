@@ -8,7 +8,8 @@ repeats once, are the fingerprint: places, counted from 0, and full hashes. A
 run of w + k - 1 words that two texts share is always met by a choice of each.
 
 Defined results: a null or empty text, or one of white space, has an empty
-fingerprint; with fewer than k words the whole sequence is the one hash; with
+fingerprint; with fewer than k words the whole sequence is the one hash, so a text without
+spaces is one hash and has a likeness of 0 to its edited form; with
 fewer than w hashes the one window is all of them; two empty fingerprints are
 alike (1), an empty and another are not (0); repeated rows are kept each; with
 one document the next document is itself; null ids come last; further columns
