@@ -3,8 +3,8 @@
 The program has a variable for each way to fill a sequence with piece lengths
 and covers the histogram of lengths. It is solved by multiplicative weights:
 lengths not yet covered weigh more, and a knapsack dynamic program finds the
-filling of most weight. A share of the variables is rounded down, the program is
-solved again for what is left while that helps, and the last pieces go best-fit.
+filling of most weight. Its variables are rounded to whole multiples; the pieces
+that rounding leaves over are filled by the same knapsack, the longest first.
 Only the histogram (as many counts as a sequence has tokens) reaches the
 driver. Pieces find their places by their rank among those of their length,
 from counts by shard, so no length's pieces ever meet in one task.
@@ -16,6 +16,7 @@ columns are left out. A special token's string inside a text is that token.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,6 +28,10 @@ from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import Splitter, byte_alphabet, worker_store
 
 
+#: The exponent by which a long piece is worth more than its share of a sequence, so that short ones are left to fill gaps.
+LONG_FIRST = 1.05
+
+
 class Encoder:
     """Ids of whole texts by the vocabulary of a byte-level BPE file.
 
@@ -55,105 +60,94 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-def best_filling(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: counts by index of the lengths that fit and are worth most."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        if n:
-            gain = best[c - lengths[:n]] + values[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[c - 1]:
-                best[c], last[c] = gain[k], k
-                continue
-        best[c] = best[c - 1]
+def best_filling(values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
+    """Knapsack of at most so many pieces of each length: counts by index of the filling that is worth most."""
+    best = np.zeros(capacity + 1)
+    items = []
+    for i, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
+        room, times = min(int(count), capacity // length), 1
+        while room > 0:  # 1, 2, 4, ... pieces at once
+            times = min(times, room)
+            size = length * times
+            with_it = best[: capacity + 1 - size] + values[i] * times
+            better = with_it > best[size:]
+            np.copyto(best[size:], with_it, where=better)
+            items.append((i, times, size, better))
+            room, times = room - times, times * 2
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            out[int(last[c])] = out.get(int(last[c]), 0) + 1
-            c -= int(lengths[last[c]])
+    at = capacity
+    for i, times, size, better in reversed(items):
+        if at >= size and better[at - size]:
+            out[i] = out.get(i, 0) + times
+            at -= size
     return out
 
 
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int, step: float) -> dict[tuple, float]:
-    """Fillings (pairs of length and copies) and how often each is used, by multiplicative weights."""
-    cover, used = np.zeros(len(lengths)), {}
-    eta = np.log(max(2, len(lengths))) / step / 4
-    for _ in range(steps):
-        if cover.min() >= 1:
-            break
-        w = np.exp(-eta * (cover - cover.min())) * (cover < 1)
-        filling = best_filling(w / counts, lengths, capacity)
-        if not filling:
-            break
-        k, a = np.array(list(filling)), np.array(list(filling.values()))
-        amount = step * (counts[k] / a).min()
-        cover[k] += amount * a / counts[k]
-        key = tuple(sorted(zip(lengths[k].tolist(), a.tolist(), strict=True), reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-    return used
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
-    """Longest first, each into the fullest open sequence that has room."""
-    open_by_room: dict[int, list[list[int]]] = {}
-    rooms, bins = 0, []
-    for length in sorted(left, reverse=True):
-        for _ in range(left[length]):
-            fit = rooms >> length
-            if fit:
-                room = length + (fit & -fit).bit_length() - 1
-                item = open_by_room[room].pop()
-                if not open_by_room[room]:
-                    rooms &= ~(1 << room)
-            else:
-                room, item = capacity, []
-                bins.append(item)
-            item.append(length)
-            room -= length
-            if room:
-                open_by_room.setdefault(room, []).append(item)
-                rooms |= 1 << room
-    found: dict[tuple, int] = {}
-    for item in bins:
-        key = tuple((x, item.count(x)) for x in sorted(set(item), reverse=True))
-        found[key] = found.get(key, 0) + 1
-    return list(found.items())
-
-
-def plan_sequences(histogram: dict[int, int], capacity: int, steps: int = 250, step: float = 0.25, share: float = 0.5, small: int = 20_000, rounds: int = 40) -> list[tuple[tuple, int]]:
-    """Fillings (pairs of length and copies, longest first) with whole multiplicities that use every piece once.
-
-    Of each full filling a share is taken, rounded down, so that what is left still has all lengths; the program is
-    solved again for that, and the last pieces are packed best-fit.
+def worth(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The weight of a length that is not covered at all: its share of a sequence, long pieces a little more."""
+    return (lengths / capacity) ** LONG_FIRST
+
+
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float = 0.1) -> dict[tuple, float]:
+    """Fillings (pairs of length and copies) and how often each is used, by multiplicative weights.
+
+    A length's weight falls by exp(-eta * covered share). Each step takes the filling of most weight as often as
+    covers its scarcest length, so there are at most as many steps as lengths and every length ends covered.
+    """
+    cover, used, base = np.zeros(len(lengths)), {}, worth(lengths, capacity)
+    while True:
+        live = np.flatnonzero(cover < 1 - 1e-9)
+        if not len(live):
+            return used
+        free = np.maximum(np.floor(counts[live] * (1 - cover[live]) + 1e-9), 1)
+        filling = best_filling(base[live] * np.exp(-eta * cover[live]), lengths[live], free, capacity)
+        k, a = live[list(filling)], np.array(list(filling.values()), float)
+        share = (1 - cover[k]) * counts[k] / a
+        cover[k] += share.min() * a / counts[k]
+        cover[k[share.argmin()]] = 1.0
+        key = tuple(sorted(zip(lengths[k].tolist(), a.astype(int).tolist(), strict=True), reverse=True))
+        used[key] = used.get(key, 0.0) + float(share.min())
+
+
+def filled(filling: tuple) -> int:
+    return sum(length * copies for length, copies in filling)
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple, int]], int]:
+    """Fillings (pairs of length and copies, longest first) with whole multiplicities that use every piece once, and how many come from the program.
+
+    The program's fillings that leave no room for any piece are rounded up as far as pieces last, fullest first.
+    What rounding leaves over is filled by the same knapsack around its longest piece, each filling as often as its
+    pieces last; so no step hangs on the number of pieces, only on the number of lengths.
     """
     left = {k: int(v) for k, v in histogram.items() if v > 0}
     plan: list[tuple[tuple, int]] = []
-    if capacity in left:
-        plan.append((((capacity, 1),), left.pop(capacity)))
-    for _ in range(rounds):
-        total = sum(left.values())
-        if total <= 1:
-            break
-        lengths = np.array(sorted(left))
-        counts = np.array([left[k] for k in lengths.tolist()], float)
-        used = solve_lp(lengths, counts, capacity, steps, step)
-        packed = 0
-        fill = lambda key: sum(x * a for x, a in key)
-        for key, x in sorted(used.items(), key=lambda e: (-fill(e[0]), -e[1], e[0])):
-            m = min(int(share * x), *(left[k] // a for k, a in key))
-            if m > 0 and fill(key) == capacity:
-                plan.append((key, m))
-                for k, a in key:
-                    left[k] -= a * m
-                    packed += a * m
-        left = {k: v for k, v in left.items() if v}
-        if sum(left.values()) <= small or packed < 0.02 * total:
-            break
-    return plan + best_fit(left, capacity)
+
+    def take(filling: tuple, times: int) -> None:
+        times = min(times, *(left.get(k, 0) // a for k, a in filling))
+        if times > 0:
+            plan.append((filling, times))
+            for k, a in filling:
+                left[k] -= a * times
+                if not left[k]:
+                    del left[k]
+
+    lengths = np.array(sorted(left))
+    used = solve_lp(lengths, np.array([left[k] for k in lengths.tolist()], float), capacity)
+    for filling, x in sorted(used.items(), key=lambda e: (-filled(e[0]), -e[1], e[0])):
+        if filled(filling) + min(left, default=capacity) > capacity:
+            take(filling, math.ceil(x - 1e-6))
+    by_program = len(plan)
+    while left:
+        longest = max(left)
+        rest = np.array(sorted(k for k in left if k <= capacity - longest), int)
+        counts = np.array([left[k] - (k == longest) for k in rest.tolist()])
+        beside = best_filling(worth(rest, capacity), rest, counts, capacity - longest)
+        filling = {longest: 1}
+        for i, a in beside.items():
+            filling[int(rest[i])] = filling.get(int(rest[i]), 0) + a
+        take(tuple(sorted(filling.items(), reverse=True)), left[longest])
+    return plan, by_program
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
@@ -232,7 +226,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     shards = max(1, -(-sum(histogram.values()) // 100_000))
     shards = max(shards, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 2_000))
-    return place(pieces, plan_sequences(histogram, capacity), id_col, max(1, shards))
+    return place(pieces, plan_sequences(histogram, capacity)[0], id_col, max(1, shards))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

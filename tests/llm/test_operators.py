@@ -137,10 +137,15 @@ def test_tokens_and_packing(spark, docs, empty):
     ids = [t.encode(r.text or "", add_special_tokens=False).ids for r in rows]
     got = token_count.count_tokens(docs, PATH).collect()
     assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted((len((r.text or "").encode()), len(x)) for r, x in zip(rows, ids, strict=True))
-    want = collections.Counter((r.doc_id, zlib.crc32(np.array([*x, 2], "<u4")[: (len(x) + 1) % 1024 or 1024].tobytes())) for r, x in zip(rows, ids, strict=True))
+    want = collections.Counter()
+    for r, x in zip(rows, ids, strict=True):  # every piece: the first may be shorter, the others are full
+        x, start = [*x, 2], 0
+        for k in range(-(-len(x) // 1024)):
+            length = (len(x) % 1024 or 1024) if not k else 1024
+            want[r.doc_id, k, start, length, zlib.crc32(np.array(x[start : start + length], "<u4").tobytes())] += 1
+            start += length
     out = packing.pack(docs, PATH).collect()
-    assert collections.Counter((r.doc_id, r.ids_crc32) for r in out if r.piece == 0) == want
-    assert sum(r.length for r in out) == sum(len(x) + 1 for x in ids)
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
     by = collections.defaultdict(list)
     for r in out:
         by[r.sequence_id].append((r.offset, r.length))
@@ -159,17 +164,57 @@ def test_merging_overlaps():
     assert m.counts([p.encode() for p in pieces]).tolist() == [len(s.tokenizer.encode(p).ids) for p in pieces]
 
 
-def test_plan_uses_every_piece_once_and_few_sequences():
+def best_fit_decreasing(h, capacity=1024):
+    rooms = []
+    for length in sorted(h, reverse=True):
+        for _ in range(h[length]):
+            fits = [i for i, r in enumerate(rooms) if r >= length]
+            if fits:
+                rooms[min(fits, key=lambda i: rooms[i])] -= length
+            else:
+                rooms.append(capacity - length)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 1025, 1500), (1, 1025, 300), (200, 700, 1000), (300, 360, 500)])
+def test_plan_uses_every_piece_once_and_few_sequences(low, high, n):
     rng = np.random.default_rng(5)
-    h = collections.Counter(rng.integers(1, 1025, 40_000).tolist())
-    plan = packing.plan_sequences(h, 1024)
+    h = collections.Counter(rng.integers(low, high, n).tolist())
+    plan, by_program = packing.plan_sequences(h, 1024)
     used = collections.Counter()
     for filling, times in plan:
-        assert sum(x * a for x, a in filling) <= 1024
+        assert packing.filled(filling) <= 1024
         for x, a in filling:
             used[x] += a * times
     assert used == h
-    assert sum(times for _, times in plan) <= 1.01 * sum(times for _, times in packing.best_fit(dict(h), 1024))
+    assert sum(times for _, times in plan) <= 1.01 * best_fit_decreasing(h) + 1
+    assert sum(times * sum(a for _, a in f) for f, times in plan[:by_program]) > n / 2
+
+
+def test_plan_does_not_hang_on_the_number_of_pieces():
+    h = {k: 10**9 + k for k in range(513, 1025)}
+    plan, by_program = packing.plan_sequences(h, 1024)
+    assert sum(times for _, times in plan) == sum(h.values()) and by_program == len(plan) == 512
+    h = {k: 10**9 for k in range(1, 1025)}
+    plan, by_program = packing.plan_sequences(h, 1024)
+    assert sum(times for _, times in plan) <= 1.0001 * sum(k * v for k, v in h.items()) / 1024
+    assert packing.plan_sequences({}, 1024) == ([], 0)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_most_pieces_come_from_the_program(spark, sf):
+    """Of all short pieces of the sample tables at least nine in ten; one sequence above the bound of total length, or two."""
+    import os
+
+    if not os.path.exists(f"/root/testdata/{sf}/documents.parquet"):
+        pytest.skip("no sample tables")
+    pieces = packing.token_pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), PATH, "doc_id", "text", 1024, 2)
+    h = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    plan, by_program = packing.plan_sequences(h, 1024)
+    short = sum(v for k, v in h.items() if k < 1024)
+    placed = sum(times * sum(a for x, a in f if x < 1024) for f, times in plan[:by_program])
+    assert placed >= 0.9 * short
+    assert sum(times for _, times in plan) <= math.ceil(sum(k * v for k, v in h.items()) / 1024) + 2
 
 
 def brute_groups(rows, threshold=85):
