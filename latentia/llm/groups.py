@@ -8,12 +8,18 @@ components, so a bucket whose nodes hang together ends after one round and
 costs as many comparisons as it has nodes. Rounds go on until no bucket is
 left: every pair that shares a bucket is either confirmed, refuted or inside
 one component. There is no limit on buckets or rounds.
+
+A pair is never a row: a bucket's centres of a round meet its members as one
+array, and what is left of the array is verified in groups of limited size
+that give confirmed links only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +34,41 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets with two nodes or more."""
-    several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    return members.join(several, "bucket")
+def shared_members(rows: DataFrame) -> DataFrame:
+    """The distinct rows (bucket, node) of buckets with two nodes or more. They are sorted by bucket, and each batch is read with its neighbours."""
+
+    def run(batches):
+        last_b = last_n = None  # the last row so far, and whether it has been given out
+        given = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if last_b is not None:
+                b, n = np.r_[last_b, b], np.r_[last_n, n]
+            new = np.ones(len(b), bool)
+            new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+            b, n = b[new], n[new]
+            same = b[1:] == b[:-1]
+            shared = np.r_[False, same] | np.r_[same, False]
+            if last_b is not None:
+                first_shared = given or shared[0]
+                shared[0] = shared[0] and not given  # the carried row goes out once
+                given = first_shared if len(b) == 1 else shared[-1]
+            else:
+                given = shared[-1]
+            if shared.any():
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b[shared]), "node": pa.array(n[shared])})
+            last_b, last_n = b[-1:], n[-1:]
+
+    return rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
+
+
+def with_earlier(members: DataFrame, traits: DataFrame) -> DataFrame:
+    """bucket, node, before (the node's buckets of lower number) and the columns of traits, for link_groups."""
+    held = members.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).join(traits, "node")
+    payload = [c for c in traits.columns if c != "node"]
+    return held.select("node", "buckets", F.posexplode("buckets").alias("pos", "bucket"), *payload).select("bucket", "node", F.slice("buckets", F.lit(1), F.col("pos")).alias("before"), *payload)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -70,13 +107,45 @@ def connected(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column] | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+#: Candidate rows that are verified together, about.
+GROUP_ROWS = 2_000
+
+
+def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, alike: Callable[[object, list], list]) -> DataFrame:
+    """The links (a, b) among candidates (bucket, a, bs) whose data (node, data) are alike.
+
+    A bucket's candidates are split into parts of limited size, and its centres go to each part.
+    """
+    total = candidates.count()
+    n = max(1, total // GROUP_ROWS)
+    parts = candidates.groupBy("bucket").agg((F.count(F.lit(1)) / GROUP_ROWS + 1).cast("int").alias("n_parts"))
+    group = F.pmod(F.xxhash64("bucket", "part"), F.lit(n)).cast("int").alias("g")
+    left = candidates.join(small(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int"))
+    left = left.select(group, "a", "bs").join(data.select(F.col("node").alias("a"), F.col("data").alias("da")), "a").select("g", "a", "bs", "da")
+    right = centres.select("bucket", F.col("c_node").alias("b")).join(small(parts), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    right = right.select(group, "b").distinct().join(data.select(F.col("node").alias("b"), F.col("data").alias("db")), "b").select("g", "b", "db")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right["b"].to_pylist(), right["db"].to_pylist(), strict=True)) if left.num_rows else {}
+        found_a, found_b = [], []
+        for a, bs, d in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["da"].to_pylist(), strict=True):
+            for b, ok in zip(bs, alike(d, [held[b] for b in bs]), strict=True):
+                if ok:
+                    found_a.append(a)
+                    found_b.append(b)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return left.groupBy("g").cogroup(right.toDF("g2", "b", "db").groupBy("g2")).applyInArrow(run, "a long, b long")
+
+
+def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Components (node, comp) of the nodes with a link, and the confirmed links (a, b).
 
     members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
-    more. before: 32-bit parts of the node's buckets that stand earlier in an order that all nodes share; a pair is
+    more. before: the node's buckets that stand earlier in an order that all nodes share; a pair is
     settled in the first of its common buckets only, and so once.
-    verify: adds a boolean `ok` to pairs of a member a and a centre b; it may leave out those that are not. may_link: a condition on the payload of the sides named, under which alone a pair is verified.
+    verify: the links (a, b) among candidates (bucket, a, bs: centres) and centres (bucket, c_node). may_link: a
+    condition on the payload of both sides, given by name, under which alone a pair is verified.
     """
     state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
     links = comps = own = None
@@ -89,23 +158,32 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ma
             forget(own)
         own = active
         if not active.limit(1).count():
+            forget(active)
             break
         order = Window.partitionBy("bucket").orderBy(F.col("comp") == F.col("hub"), rank, "node")
         first = order if centres_each > 1 else Window.partitionBy("bucket").orderBy(rank, "node")
-        centres = active.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= centres_each)
+        chosen = active.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= centres_each)
         carried = ["node", "comp", "before", *payload]
-        centres = keep(centres.select("bucket", *[F.col(x).alias(f"c_{x}") for x in carried]))
-        ok = (F.col("comp") != F.col("c_comp")) & (active["bucket"] == centres["bucket"])
-        if may_link is not None:
-            ok = ok & may_link("", "c_")
-        ok = ok & ~F.arrays_overlap("before", "c_before")
-        pairs = active.join(centres, ok).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct()
-        pairs = keep(pairs)
-        good = keep(verify(pairs).where("ok").select("a", "b"))
-        forget(pairs)
-        links = good if links is None else links.union(good)
-        if good.limit(1).count():
-            comps = connected(links)
+        centres = keep(chosen.select("bucket", *[F.col(x).alias(f"c_{x}") for x in carried]))
+        arrays = centres.groupBy("bucket").agg(F.collect_list(F.struct(*[F.col(f"c_{x}").alias(x) for x in carried])).alias("cs"))
+        met = active.join(arrays, "bucket").withColumn("is_centre", F.exists("cs", lambda c: c["node"] == F.col("node")))
+
+        def open_pair(c):
+            ok = (F.col("comp") != c["comp"]) & (~F.col("is_centre") | (F.col("node") > c["node"]))
+            if may_link is not None:
+                ok = ok & may_link(F.col, lambda x: c[x])
+            return ok & ~F.arrays_overlap(F.col("before"), c["before"])
+
+        candidates = met.select("bucket", F.col("node").alias("a"), F.transform(F.filter("cs", open_pair), lambda c: c["node"]).alias("bs")).where(F.size("bs") > 0)
+        candidates = keep(candidates)
+        if candidates.limit(1).count():
+            good = keep(verify(candidates, centres))
+            links = good if links is None else links.union(good)
+            if good.limit(1).count():
+                if comps is not None:
+                    forget(comps)
+                comps = connected(links)
+        forget(candidates)
         left = active.drop("hub", "comp").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         if comps is not None:
             state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "before", *payload)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentia.llm.groups import link_groups, shared_buckets, small
+from latentia.llm.groups import link_groups, settle, shared_members, small, with_earlier
 from latentia.llm.kernels import WordHasher, U, buffers, distinct, grams, mix
 from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import worker_store
@@ -105,10 +105,9 @@ def parities(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def may_be_near(threshold: int) -> Callable[[str, str], Column]:
     """A condition on both sides' sizes and parities that every pair of the threshold meets."""
 
-    def condition(a: str, b: str) -> Column:
-        differing = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in PARITIES), F.lit(0))
-        both = F.col(f"{a}n_shingles") + F.col(f"{b}n_shingles")
-        return (100 + threshold) * differing <= (100 - threshold) * both
+    def condition(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        differing = sum((F.bit_count(a(q).bitwiseXOR(b(q))) for q in PARITIES), F.lit(0))
+        return (100 + threshold) * differing <= (100 - threshold) * (a("n_shingles") + b("n_shingles"))
 
     return condition
 
@@ -163,43 +162,23 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-#: Centres of a block, and members in a part of a block, that are verified together.
-BLOCK_CENTRES, BLOCK_MEMBERS = 64, 2048
+def near(threshold: int) -> Callable[[bytes, list[bytes]], list[bool]]:
+    """Whether sorted sets, as bytes, share enough of their elements: 100 * shared >= threshold * all."""
 
+    def check(a: bytes, others: list[bytes]) -> list[bool]:
+        own, out = np.frombuffer(a, U), []
+        for other in others:
+            b = np.frombuffer(other, U)
+            x, y = (own, b) if len(own) <= len(b) else (b, own)
+            if 100 * len(x) < threshold * len(y):
+                out.append(False)
+                continue
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            shared = int((y[at] == x).sum())
+            out.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+        return out
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * shared >= threshold * all, as ok.
-
-    Centres b are dealt to blocks; a member's set is sent once to each block that holds centres of its pairs, and a
-    block with many members is split by them, so neither pairs nor hot centres multiply rows.
-    """
-    n = max(1, pairs.select("b").distinct().count() // BLOCK_CENTRES)
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b", F.lit("block")), F.lit(n)).cast("int"))
-    sizes = dealt.groupBy("block").agg((F.approx_count_distinct("a") / BLOCK_MEMBERS + 1).cast("int").alias("n_parts"))
-    part = F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int").alias("part")
-    members = dealt.groupBy("block", "a").agg(F.collect_list("b").alias("bs")).join(sizes, "block").select("block", part, "a", "bs")
-    members = members.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    centres = dealt.select("block", "b").distinct().join(sizes, "block").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    centres = centres.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("block", "part", "b", "sb")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = {b: np.frombuffer(s.as_buffer(), U) for b, s in zip(right["b"].to_pylist(), right["sb"], strict=True)} if right.num_rows else {}
-        found_a, found_b = [], []
-        for a, bs, s in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["sa"], strict=True):
-            own = np.frombuffer(s.as_buffer(), U)
-            for b in bs:
-                x, y = (own, held[b]) if len(own) <= len(held[b]) else (held[b], own)
-                if 100 * len(x) < threshold * len(y):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                if 100 * shared >= threshold * (len(x) + len(y) - shared):
-                    found_a.append(a)
-                    found_b.append(b)
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64()), "ok": pa.array([True] * len(found_a), pa.bool_())})
-
-    members, centres = members.select("block", "part", "a", "bs", "sa").toDF("block", "part", "a", "bs", "sa"), centres.toDF("block_c", "part_c", "b", "sb")
-    return members.groupBy("block", "part").cogroup(centres.groupBy("block_c", "part_c")).applyInArrow(run, "a long, b long, ok boolean")
+    return check
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
@@ -208,14 +187,13 @@ def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataF
     nodes = table.where("node is not null")
     payload = ("n_shingles", *PARITIES)
     traits = nodes.select("node", "buckets", *payload).dropDuplicates(["node"])
-    members = shared_buckets(keep(traits.select(F.posexplode("buckets").alias("pos", "bucket"), "node")))
-    before = F.slice(F.transform("buckets", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")), F.lit(1), F.col("pos"))
-    members = keep(members.join(traits, "node").select("bucket", "node", before.alias("before"), *payload))
+    members = keep(shared_members(traits.select(F.explode("buckets").alias("bucket"), "node")))
+    members = keep(with_earlier(members, traits.select("node", *payload)))
     some = members.select("node").distinct()
     first_row = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
     wanted = nodes.groupBy("node").agg(first_row.alias("k")).select("node", "k.id", "k.text_hash").join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, lambda pairs: confirm(pairs, sets, threshold), may_be_near(threshold), payload)
+    comps, _ = link_groups(members, lambda candidates, centres: settle(candidates, centres, sets.select("node", F.col("set").alias("data")), near(threshold)), may_be_near(threshold), payload)
     labelled = table.select("id", "text_hash", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("k"))
     out = labelled.join(first, "comp", "left")
