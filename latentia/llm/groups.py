@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latentia.llm.kernels import U, mix
 from latentia.llm.tables import forget, keep
 
 #: Most rows of narrow tables that are broadcast; above it Spark joins by shuffling.
@@ -34,34 +35,56 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Rows of a bucket that are held at once; a larger one is passed on in parts, under its own number.
+HELD_ROWS = 200_000
+
+
 def shared_members(rows: DataFrame) -> DataFrame:
-    """The distinct rows (bucket, node) of buckets with two nodes or more. They are sorted by bucket, and each batch is read with its neighbours."""
+    """bucket, node: the members of buckets with two nodes or more, buckets of the same nodes as one.
+
+    Rows come sorted by bucket. A bucket's new number is a hash of the set of its nodes, so those that hold the same
+    nodes, as near copies share many, fall together. Should two sets have one hash, they are one bucket, and no pair is lost.
+    """
+
+    def sets(b: np.ndarray, n: np.ndarray, keep_number: bool):
+        if not len(b):
+            return
+        order = np.lexsort((n, b))
+        b, n = b[order], n[order]
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+        b, n = b[new], n[new]
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        size = np.diff(np.r_[first, len(b)])
+        number = b if keep_number else np.repeat(mix(np.add.reduceat(mix(n.view(U) + U(0x9E3779B97F4A7C15)), first) + size.astype(U)), size).view(np.int64)
+        several = np.repeat(size > 1, size) | keep_number
+        if several.any():
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(number[several]), "node": pa.array(n[several])})
 
     def run(batches):
-        last_b = last_n = None  # the last row so far, and whether it has been given out
-        given = True
+        b = n = np.zeros(0, np.int64)
+        in_parts = False  # some of the bucket that is held has been passed on
         for batch in batches:
-            if not batch.num_rows:
+            b, n = np.r_[b, batch.column(0).to_numpy()], np.r_[n, batch.column(1).to_numpy()]
+            if not len(b):
                 continue
-            b, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last_b is not None:
-                b, n = np.r_[last_b, b], np.r_[last_n, n]
-            new = np.ones(len(b), bool)
-            new[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-            b, n = b[new], n[new]
-            same = b[1:] == b[:-1]
-            shared = np.r_[False, same] | np.r_[same, False]
-            if last_b is not None:
-                first_shared = given or shared[0]
-                shared[0] = shared[0] and not given  # the carried row goes out once
-                given = first_shared if len(b) == 1 else shared[-1]
-            else:
-                given = shared[-1]
-            if shared.any():
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(b[shared]), "node": pa.array(n[shared])})
-            last_b, last_n = b[-1:], n[-1:]
-
-    return rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket long, node long")
+            last = int(np.searchsorted(b, b[-1]))
+            if last and in_parts:
+                end = int(np.searchsorted(b, b[0], "right"))
+                yield from sets(b[:end], n[:end], True)
+                b, n, last, in_parts = b[end:], n[end:], last - end, False
+            yield from sets(b[:last], n[:last], False)
+            b, n = b[last:], n[last:]
+            if len(b) > HELD_ROWS:
+                n = np.unique(n)
+                b = b[: len(n)]
+                if len(b) > HELD_ROWS // 2:
+                    yield from sets(b, n, True)
+                    b, n, in_parts = b[:1], n[:1], True
+        yield from sets(b, n, in_parts)
+
+    split = rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket")
+    return split.mapInArrow(run, "bucket long, node long").dropDuplicates(["bucket", "node"])
 
 
 def with_earlier(members: DataFrame, traits: DataFrame) -> DataFrame:
