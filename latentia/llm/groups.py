@@ -9,9 +9,9 @@ costs as many comparisons as it has nodes. Rounds go on until no bucket is
 left: every pair that shares a bucket is either confirmed, refuted or inside
 one component. There is no limit on buckets or rounds.
 
-A pair is never a row: a bucket's centres of a round meet its members as one
-array, and what is left of the array is verified in groups of limited size
-that give confirmed links only.
+A pair is never a row: members meet the centres of their buckets as arrays in
+parts of limited size, and the centres that are left for a member are verified in
+groups of limited size that give confirmed links only.
 """
 
 from __future__ import annotations
@@ -130,84 +130,149 @@ def connected(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
 
 
-#: Candidate rows that are verified together, about.
-GROUP_ROWS = 2_000
+#: Rows that meet in one task, pairs that one part of a bucket and one step of a task look at, and candidate rows verified together, about.
+MEET_ROWS, MEET_PAIRS, STEP_PAIRS, GROUP_ROWS = 20_000, 4_000_000, 500_000, 2_000
 
 
-def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, alike: Callable[[object, list], list]) -> DataFrame:
-    """The links (a, b) among candidates (bucket, a, bs) whose data (node, data) are alike.
+def overlapping(left: pa.Array, i: np.ndarray, right: pa.Array, j: np.ndarray) -> np.ndarray:
+    """Whether the lists left[i] and right[j] have a number in common; the numbers of one list differ."""
+    tagged = []
+    for lists, at in ((left, i), (right, j)):
+        taken = lists.take(pa.array(at))
+        size = np.diff(taken.offsets.to_numpy())
+        pair = np.repeat(np.arange(len(at)), size)
+        tagged.append((pair, mix(taken.flatten().to_numpy().view(U) + mix(pair.astype(U)))))
+    pair, value = np.concatenate([tagged[0][0], tagged[1][0]]), np.concatenate([tagged[0][1], tagged[1][1]])
+    order = np.argsort(value)
+    same = np.flatnonzero(value[order][1:] == value[order][:-1])
+    out = np.zeros(len(i), bool)
+    out[pair[order[same]]] = True
+    return out
 
-    A bucket's candidates are split into parts of limited size, and its centres go to each part.
+
+def meet(active: DataFrame, centres: DataFrame, n_groups: int, may_link: Callable | None, payload: tuple[str, ...]) -> DataFrame:
+    """k (a part of a bucket), a, bs: each member with the centres of its bucket that it may be linked with.
+
+    Rows of many buckets meet in one task and are matched as arrays; a large bucket is split, and its centres go to each part.
+    """
+    carried = ["node", "comp", "before", *payload]
+    key = F.xxhash64("bucket", "part").alias("k")
+    group = F.pmod(F.xxhash64("k", F.lit("meet")), F.lit(n_groups)).cast("int").alias("g")
+    left = active.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("n_parts"))).select(key, *carried).select(group, "k", *carried)
+    right = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).select(key, *[f"c_{x}" for x in carried]).select(group.alias("g2"), "k", *[f"c_{x}" for x in carried])
+
+    def one(table: pa.Table, name: str):
+        column = table[name].combine_chunks()
+        return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found_k, found_a, found_b, sizes = [], [], [], []
+        if left.num_rows and right.num_rows:
+            lk, rk = left["k"].to_numpy(), right["k"].to_numpy()
+            order = np.argsort(rk, kind="stable")
+            low, high = np.searchsorted(rk[order], lk, "left"), np.searchsorted(rk[order], lk, "right")
+            count = high - low
+            values = {x: (left[x].to_numpy(), right[f"c_{x}"].to_numpy()[order]) for x in ("node", "comp", *payload)}
+            nodes, c_nodes = values["node"]
+            tag = lambda k, n: mix(k.view(U) + mix(n.view(U)))
+            is_centre = np.isin(tag(lk, nodes), tag(rk[order], c_nodes))
+            before, c_before = one(left, "before"), one(right, "c_before").take(pa.array(order))
+            total = np.cumsum(count)
+            at = 0
+            while at < len(lk):
+                upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_PAIRS, "right")))
+                n = count[at:upto]
+                i = np.repeat(np.arange(at, upto), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+                at = upto
+                ok = (values["comp"][0][i] != values["comp"][1][j]) & (~is_centre[i] | (nodes[i] > c_nodes[j]))
+                i, j = i[ok], j[ok]
+                if may_link is not None and len(i):
+                    ok = may_link({x: values[x][0][i] for x in payload}, {x: values[x][1][j] for x in payload})
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    ok = ~overlapping(before, i, c_before, j)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    found_k.append(lk[i[first]])
+                    found_a.append(nodes[i[first]])
+                    sizes.append(np.diff(np.r_[first, len(i)]))
+                    found_b.append(c_nodes[j])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(join(sizes))].astype(np.int32)), pa.array(join(found_b)))
+        return pa.table({"k": pa.array(join(found_k)), "a": pa.array(join(found_a)), "bs": lists})
+
+    return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "k long, a long, bs array<long>")
+
+
+def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, prepare: Callable, alike: Callable[[object, list], list]) -> DataFrame:
+    """The links (a, b) among candidates (k, a, bs) whose data (node, data), each prepared once in a task, are alike.
+
+    The candidates of one k are split into parts of limited size, and their centres (k, b) go to each part.
     """
-    total = candidates.count()
-    n = max(1, total // GROUP_ROWS)
-    parts = candidates.groupBy("bucket").agg((F.count(F.lit(1)) / GROUP_ROWS + 1).cast("int").alias("n_parts"))
-    group = F.pmod(F.xxhash64("bucket", "part"), F.lit(n)).cast("int").alias("g")
-    left = candidates.join(small(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int"))
+    n = max(1, candidates.count() // GROUP_ROWS)
+    parts = small(keep(candidates.groupBy("k").agg((F.count(F.lit(1)) / GROUP_ROWS + 1).cast("int").alias("n_parts"))))
+    group = F.pmod(F.xxhash64("k", "part"), F.lit(n)).cast("int").alias("g")
+    left = candidates.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int"))
     left = left.select(group, "a", "bs").join(data.select(F.col("node").alias("a"), F.col("data").alias("da")), "a").select("g", "a", "bs", "da")
-    right = centres.select("bucket", F.col("c_node").alias("b")).join(small(parts), "bucket").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    right = right.select(group, "b").distinct().join(data.select(F.col("node").alias("b"), F.col("data").alias("db")), "b").select("g", "b", "db")
+    right = centres.join(parts, "k").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    right = right.select(group, "b").distinct().join(data.select(F.col("node").alias("b"), F.col("data").alias("db")), "b").select(F.col("g").alias("g2"), "b", "db")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = dict(zip(right["b"].to_pylist(), right["db"].to_pylist(), strict=True)) if left.num_rows else {}
         found_a, found_b = [], []
-        for a, bs, d in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["da"].to_pylist(), strict=True):
-            for b, ok in zip(bs, alike(d, [held[b] for b in bs]), strict=True):
-                if ok:
-                    found_a.append(a)
-                    found_b.append(b)
+        if left.num_rows:
+            held = {b: prepare(d) for b, d in zip(right["b"].to_pylist(), right["db"].to_pylist(), strict=True)}
+            for a, bs, d in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["da"].to_pylist(), strict=True):
+                for b, ok in zip(bs, alike(prepare(d), [held[b] for b in bs]), strict=True):
+                    if ok:
+                        found_a.append(a)
+                        found_b.append(b)
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return left.groupBy("g").cogroup(right.toDF("g2", "b", "db").groupBy("g2")).applyInArrow(run, "a long, b long")
+    return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "a long, b long")
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def link_groups(members: DataFrame, data: DataFrame, prepare: Callable, alike: Callable[[object, list], list], may_link: Callable | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Components (node, comp) of the nodes with a link, and the confirmed links (a, b).
 
     members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
     more. before: the node's buckets that stand earlier in an order that all nodes share; a pair is
     settled in the first of its common buckets only, and so once.
-    verify: the links (a, b) among candidates (bucket, a, bs: centres) and centres (bucket, c_node). may_link: a
-    condition on the payload of both sides, given by name, under which alone a pair is verified.
+    data: node, data. alike: whether a prepared datum is like each of a list of others. may_link: from the payload
+    columns of both sides, as arrays, the pairs that are worth a look at the data.
     """
     state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
     links = comps = own = None
     centres_each = 1
+    carried = ["node", "comp", "before", *payload]
     while True:
         rank = F.xxhash64("node", F.lit("rank"))
-        seen = state.groupBy("bucket").agg(F.min_by("comp", rank).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket", "hub")
-        active = keep(state.join(seen, "bucket"))
+        seen = state.groupBy("bucket").agg(F.min_by("comp", rank).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+        n_parts = (F.col("size") * F.least("size", F.lit(centres_each)) / MEET_PAIRS + 1).cast("long").alias("n_parts")
+        active = keep(state.join(seen.select("bucket", "hub", n_parts), "bucket"))
         if own is not None:
             forget(own)
         own = active
-        if not active.limit(1).count():
+        n_active = active.count()
+        if not n_active:
             forget(active)
             break
         order = Window.partitionBy("bucket").orderBy(F.col("comp") == F.col("hub"), rank, "node")
         first = order if centres_each > 1 else Window.partitionBy("bucket").orderBy(rank, "node")
         chosen = active.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= centres_each)
-        carried = ["node", "comp", "before", *payload]
-        centres = keep(chosen.select("bucket", *[F.col(x).alias(f"c_{x}") for x in carried]))
-        arrays = centres.groupBy("bucket").agg(F.collect_list(F.struct(*[F.col(f"c_{x}").alias(x) for x in carried])).alias("cs"))
-        met = active.join(arrays, "bucket").withColumn("is_centre", F.exists("cs", lambda c: c["node"] == F.col("node")))
-
-        def open_pair(c):
-            ok = (F.col("comp") != c["comp"]) & (~F.col("is_centre") | (F.col("node") > c["node"]))
-            if may_link is not None:
-                ok = ok & may_link(F.col, lambda x: c[x])
-            return ok & ~F.arrays_overlap(F.col("before"), c["before"])
-
-        candidates = met.select("bucket", F.col("node").alias("a"), F.transform(F.filter("cs", open_pair), lambda c: c["node"]).alias("bs")).where(F.size("bs") > 0)
-        candidates = keep(candidates)
+        centres = keep(chosen.select("bucket", "n_parts", *[F.col(x).alias(f"c_{x}") for x in carried]))
+        candidates = keep(meet(active, centres, max(1, n_active // MEET_ROWS), may_link, payload))
         if candidates.limit(1).count():
-            good = keep(verify(candidates, centres))
+            of_parts = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).select(F.xxhash64("bucket", "part").alias("k"), F.col("c_node").alias("b"))
+            good = keep(settle(candidates, of_parts, data, prepare, alike))
             links = good if links is None else links.union(good)
             if good.limit(1).count():
                 if comps is not None:
                     forget(comps)
                 comps = connected(links)
         forget(candidates)
-        left = active.drop("hub", "comp").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+        left = active.drop("hub", "comp", "n_parts").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         if comps is not None:
             state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "before", *payload)
         else:

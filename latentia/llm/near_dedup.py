@@ -23,10 +23,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentia.llm.groups import link_groups, settle, shared_members, small, with_earlier
+from latentia.llm.groups import link_groups, shared_members, small, with_earlier
 from latentia.llm.kernels import WordHasher, U, buffers, distinct, grams, mix
 from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import worker_store
@@ -102,12 +102,12 @@ def parities(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(n, n_bits), axis=1).view(np.int64)
 
 
-def may_be_near(threshold: int) -> Callable[[str, str], Column]:
+def may_be_near(threshold: int) -> Callable:
     """A condition on both sides' sizes and parities that every pair of the threshold meets."""
 
-    def condition(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        differing = sum((F.bit_count(a(q).bitwiseXOR(b(q))) for q in PARITIES), F.lit(0))
-        return (100 + threshold) * differing <= (100 - threshold) * (a("n_shingles") + b("n_shingles"))
+    def condition(a: dict, b: dict) -> np.ndarray:
+        differing = sum(np.bitwise_count((a[q] ^ b[q]).view(U)).astype(np.int64) for q in PARITIES)
+        return (100 + threshold) * differing <= (100 - threshold) * (a["n_shingles"] + b["n_shingles"])
 
     return condition
 
@@ -162,13 +162,16 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def near(threshold: int) -> Callable[[bytes, list[bytes]], list[bool]]:
-    """Whether sorted sets, as bytes, share enough of their elements: 100 * shared >= threshold * all."""
+def sorted_set(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, U)
 
-    def check(a: bytes, others: list[bytes]) -> list[bool]:
-        own, out = np.frombuffer(a, U), []
-        for other in others:
-            b = np.frombuffer(other, U)
+
+def near(threshold: int) -> Callable:
+    """Whether sorted sets share enough of their elements: 100 * shared >= threshold * all."""
+
+    def check(own: np.ndarray, others: list[np.ndarray]) -> list[bool]:
+        out = []
+        for b in others:
             x, y = (own, b) if len(own) <= len(b) else (b, own)
             if 100 * len(x) < threshold * len(y):
                 out.append(False)
@@ -193,7 +196,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataF
     first_row = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
     wanted = nodes.groupBy("node").agg(first_row.alias("k")).select("node", "k.id", "k.text_hash").join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, lambda candidates, centres: settle(candidates, centres, sets.select("node", F.col("set").alias("data")), near(threshold)), may_be_near(threshold), payload)
+    comps, _ = link_groups(members, sets.select("node", F.col("set").alias("data")), sorted_set, near(threshold), may_be_near(threshold), payload)
     labelled = table.select("id", "text_hash", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("k"))
     out = labelled.join(first, "comp", "left")
