@@ -1,7 +1,7 @@
 """Linked groups from candidate buckets, without listing the pairs of a bucket.
 
 In each round every bucket that still has nodes of different components names a
-few centres, first one, then eight times as many each time. A centre is compared with
+few centres, first one, then 64 times as many each time. A centre is compared with
 all nodes of its bucket that are in other components; then all its pairs in
 this bucket are settled and it leaves the bucket. Confirmed links merge
 components, so a bucket whose nodes hang together ends after one round and
@@ -94,12 +94,42 @@ def with_earlier(members: DataFrame, traits: DataFrame) -> DataFrame:
     return held.select("node", "buckets", F.posexplode("buckets").alias("pos", "bucket"), *payload).select("bucket", "node", F.slice("buckets", F.lit(1), F.col("pos")).alias("before"), *payload)
 
 
+#: Links that one task puts together, 16 bytes each; more go by rounds over all tasks.
+ONE_TASK_LINKS = 1_000_000
+
+
+def components(batches):
+    """node, comp of at most ONE_TASK_LINKS links (a, b): each round a node takes the least label beside it, and labels their own label."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        after = label.copy()
+        for x in (label[u], label[v], u, v):
+            np.minimum.at(after, x, low)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    for i in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[i : i + 10_000]), "comp": pa.array(nodes[label[i : i + 10_000]])})
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, comp: the least node that links (a, b) lead to, for every node with a link.
 
     Each round every component takes the least component beside it, chains of such choices are followed, and the
     links are written anew between components; the number of components at least halves.
     """
+    few = links.limit(ONE_TASK_LINKS + 1).count() <= ONE_TASK_LINKS
+    if few:
+        return keep(links.select("a", "b").coalesce(1).mapInArrow(components, "node long, comp long"))
     labels = None
     edges = keep(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
     while edges.limit(1).count():
@@ -206,8 +236,8 @@ def meet(active: DataFrame, centres: DataFrame, n_groups: int, may_link: Callabl
     return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "k long, a long, bs array<long>")
 
 
-def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, prepare: Callable, alike: Callable[[object, list], list]) -> DataFrame:
-    """The links (a, b) among candidates (k, a, bs) whose data (node, data), each prepared once in a task, are alike.
+def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, gather: Callable[[list], object], alike: Callable) -> DataFrame:
+    """The links (a, b) among candidates (k, a, bs) whose data (node, data) are alike.
 
     The candidates of one k are split into parts of limited size, and their centres (k, b) go to each part.
     """
@@ -222,24 +252,31 @@ def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, prepare:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows:
-            held = {b: prepare(d) for b, d in zip(right["b"].to_pylist(), right["db"].to_pylist(), strict=True)}
-            for a, bs, d in zip(left["a"].to_pylist(), left["bs"].to_pylist(), left["da"].to_pylist(), strict=True):
-                for b, ok in zip(bs, alike(prepare(d), [held[b] for b in bs]), strict=True):
-                    if ok:
-                        found_a.append(a)
-                        found_b.append(b)
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            ids, bs = left["a"].to_numpy(), left["bs"].combine_chunks()
+            centre = right["b"].to_numpy()
+            order = np.argsort(centre)
+            place = order[np.searchsorted(centre[order], bs.flatten().to_numpy())]  # of each candidate's centre on the right
+            ends = np.cumsum(np.diff(bs.offsets.to_numpy()))
+            held = gather(right["db"].to_pylist() + left["da"].to_pylist())
+            for i, (start, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                js = place[start:end]
+                js = js[alike(held, len(centre) + i, js)]
+                found_a.append(np.full(len(js), ids[i]))
+                found_b.append(centre[js])
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        return pa.table({"a": join(found_a), "b": join(found_b)})
 
     return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "a long, b long")
 
 
-def link_groups(members: DataFrame, data: DataFrame, prepare: Callable, alike: Callable[[object, list], list], may_link: Callable | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def link_groups(members: DataFrame, data: DataFrame, gather: Callable[[list], object], alike: Callable, may_link: Callable | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Components (node, comp) of the nodes with a link, and the confirmed links (a, b).
 
     members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
     more. before: the node's buckets that stand earlier in an order that all nodes share; a pair is
     settled in the first of its common buckets only, and so once.
-    data: node, data. alike: whether a prepared datum is like each of a list of others. may_link: from the payload
+    data: node, data. gather: what alike(gathered, i, js) needs of a list of data to say whether the datum i is like
+    each of js, as an array. may_link: from the payload
     columns of both sides, as arrays, the pairs that are worth a look at the data.
     """
     state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
@@ -265,7 +302,7 @@ def link_groups(members: DataFrame, data: DataFrame, prepare: Callable, alike: C
         candidates = keep(meet(active, centres, max(1, n_active // MEET_ROWS), may_link, payload))
         if candidates.limit(1).count():
             of_parts = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).select(F.xxhash64("bucket", "part").alias("k"), F.col("c_node").alias("b"))
-            good = keep(settle(candidates, of_parts, data, prepare, alike))
+            good = keep(settle(candidates, of_parts, data, gather, alike))
             links = good if links is None else links.union(good)
             if good.limit(1).count():
                 if comps is not None:
@@ -277,7 +314,7 @@ def link_groups(members: DataFrame, data: DataFrame, prepare: Callable, alike: C
             state = left.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "before", *payload)
         else:
             state = left.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
-        centres_each *= 8
+        centres_each *= 64
     empty = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links = empty if links is None else links
     return (comps if comps is not None else connected(links)), links

@@ -162,23 +162,22 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
 
-def sorted_set(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, U)
+def sorted_sets(data: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, U) for x in data]
 
 
 def near(threshold: int) -> Callable:
-    """Whether sorted sets share enough of their elements: 100 * shared >= threshold * all."""
+    """Whether a sorted set shares enough elements with each of others: 100 * shared >= threshold * all."""
 
-    def check(own: np.ndarray, others: list[np.ndarray]) -> list[bool]:
-        out = []
-        for b in others:
+    def check(held: list[np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
+        own, out = held[i], np.zeros(len(js), bool)
+        for k, j in enumerate(js.tolist()):
+            b = held[j]
             x, y = (own, b) if len(own) <= len(b) else (b, own)
-            if 100 * len(x) < threshold * len(y):
-                out.append(False)
-                continue
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared = int((y[at] == x).sum())
-            out.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+            if 100 * len(x) >= threshold * len(y):
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = int((y[at] == x).sum())
+                out[k] = 100 * shared >= threshold * (len(x) + len(y) - shared)
         return out
 
     return check
@@ -196,7 +195,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataF
     first_row = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
     wanted = nodes.groupBy("node").agg(first_row.alias("k")).select("node", "k.id", "k.text_hash").join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, sets.select("node", F.col("set").alias("data")), sorted_set, near(threshold), may_be_near(threshold), payload)
+    comps, _ = link_groups(members, sets.select("node", F.col("set").alias("data")), sorted_sets, near(threshold), may_be_near(threshold), payload)
     labelled = table.select("id", "text_hash", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("k"))
     out = labelled.join(first, "comp", "left")
