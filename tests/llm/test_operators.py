@@ -402,6 +402,53 @@ def test_quality_rejects_an_outlier(spark):
     assert not got[1000] and sum(got.values()) >= 396
 
 
+def least_determinant(x, alpha):
+    """The least determinant over all subsets of the nearest share's size."""
+    import itertools
+
+    h, factor = math.ceil(alpha * len(x) - 1e-9), quality.consistency(alpha, quality.P)
+    best = min(itertools.combinations(range(len(x)), h), key=lambda k: np.linalg.slogdet(np.cov(x[list(k)].T, bias=True) * factor + np.diag(quality.FLOOR**2))[1])
+    cov = np.cov(x[list(best)].T, bias=True) * factor + np.diag(quality.FLOOR**2)
+    return x[list(best)].mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def test_estimates_are_those_of_least_determinant(spark):
+    """Against all subsets of small groups: mostly the very subset, never far from its determinant."""
+    rng = np.random.default_rng(5)
+    groups = {f"g{i}": np.r_[rng.normal(0, 1, (9, 5)), rng.normal(6, 1, (3, 5))] for i in range(12)}
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{x} double" for x in quality.XS))
+    same = 0
+    for r in quality.fit_groups(df, 0.75).collect():
+        centre, inverse, logdet = least_determinant(groups[r.g], 0.75)
+        assert -np.linalg.slogdet(np.array(r.inverse).reshape(5, 5))[1] <= logdet + 0.5
+        same += np.allclose(r.centre, centre) and np.allclose(np.array(r.inverse).reshape(5, 5), inverse)
+    assert same >= 10
+
+
+def test_cut_distance():
+    """Known quantiles: F(0.95; 5, 10) = 3.3258, and chi-square with many rows."""
+    h = 15  # 5 and 10 degrees
+    assert quality.cut_distance(0.05, 5, h) == pytest.approx(5 * 14 / 10 * 3.32583 * (1 + 1 / 15), rel=1e-4)
+    assert quality.cut_distance(1e-7, 5, 10**7) == pytest.approx(quality.chi2_quantile(1 - 1e-7, 5), rel=1e-3)
+
+
+def test_quality_groups_and_fallbacks(spark):
+    """Sources with enough rows go by their own estimate, however few; the others by their language, and a small language by all."""
+    rng = np.random.default_rng(9)
+    sizes = {("en", "a"): 12, ("en", "b"): 40, ("en", "c"): 3, ("de", None): 4, (None, "x"): 15}
+    rows, i = [], 0
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            rows.append((i, words(rng, int(rng.integers(40, 90))), lang, source))
+            i += 1
+    rows.append((i, None, "en", "a"))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by = {(rows[r.doc_id][2], rows[r.doc_id][3]): r.judged_by for r in got if r.doc_id < i}
+    assert by == {("en", "a"): "group", ("en", "b"): "group", ("en", "c"): "lang", ("de", None): "all", (None, "x"): "group"}
+    assert sum(r.kept for r in got) >= i - 1 and not next(r for r in got if r.doc_id == i).kept
+
+
 def brute_winnow(h, k=4, w=4):
     g = h
     picks = set()
