@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latentia.llm.groups import small
 from latentia.llm.tables import keep, read, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,9 +91,9 @@ def source_order(name: str | None) -> tuple:
 
 
 def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float, block_words: int, seed: int) -> DataFrame:
-    """doc id, size, source_size, target, full (whole copies) and run_from, run_to (words taken once more, counted from 0; may wrap: a second interval run2_from, run2_to)."""
+    """doc id, th (hash of the text), size, source_size, target, full (whole copies) and run_from, run_to (words taken once more, counted from 0; may wrap: a second interval run2_from, run2_to)."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    base = keep(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), size.alias("size")))
     spark = docs.sparkSession
     rows = base.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -108,21 +109,23 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         "s int, source string, source_size long, target double, n_shards int",
     )
     dealt = base.join(F.broadcast(known), base["source"].eqNullSafe(known["source"])).select(
-        "id", "size", "s", F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit("shard")), F.col("n_shards")).cast("int").alias("shard")
+        "id", "th", "size", "s", F.pmod(F.xxhash64(F.col("id"), F.col("th"), F.lit(seed), F.lit("shard")), F.col("n_shards")).cast("int").alias("shard")
     )
     held = {(r[0], r[1]): int(r[2]) for r in dealt.groupBy("s", "shard").agg(F.sum("size")).collect()}
     blocks = math.floor(sum(aims) / block_words + 0.5)
     by_source = sainte_lague(aims, blocks, [int(cap * s) // block_words for s in sizes])
-    plan = []
+    plan, of_source = [], {}
+    for k in sorted(held):
+        of_source.setdefault(k[0], []).append(k)
     for i, quota in enumerate(by_source):
-        own = sorted(k for k in held if k[0] == i)
+        own = of_source.get(i, [])
         quotas = sainte_lague([held[k] for k in own], quota, [int(cap * held[k]) // block_words for k in own])
         plan += [(i, k[1], held[k], sizes[i], aims[i], q) for k, q in zip(own, quotas, strict=True)]
     quotas = spark.createDataFrame(plan or [(-1, 0, 0, 0, 0.0, 0)], "s int, shard int, shard_words long, source_size long, target double, quota long")
-    joined = dealt.join(F.broadcast(quotas), ["s", "shard"]).withColumn("h", F.xxhash64(F.col("id"), F.lit(seed), F.lit("order")))
+    joined = dealt.join(F.broadcast(quotas), ["s", "shard"]).withColumn("h", F.xxhash64(F.col("id"), F.col("th"), F.lit(seed), F.lit("order")))
 
     def lay(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("id", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("h", "ascending"), ("id", "ascending"), ("th", "ascending"), ("size", "ascending")])
         n = table["size"].to_numpy().astype(np.int64)
         words, quota = table["shard_words"][0].as_py(), table["quota"][0].as_py()
         taken = quota * block_words
@@ -133,13 +136,13 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
         at = np.cumsum(n) - n
         first = np.clip(np.array([at, at + n]), start, min(start + run, words)) - at
         rest = np.clip(np.array([at, at + n]), 0, max(0, start + run - words)) - at
-        cols = {"id": table["id"], "size": n, "source_size": table["source_size"], "target": table["target"], "full": np.full(len(n), full, np.int32)}
+        cols = {"id": table["id"], "th": table["th"], "size": n, "source_size": table["source_size"], "target": table["target"], "full": np.full(len(n), full, np.int32)}
         for name, v in (("run_from", first[0]), ("run_to", first[1]), ("run2_from", rest[0]), ("run2_to", rest[1])):
             cols[name] = np.clip(v, 0, n)
         return pa.table({k: (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else pa.array(v)) for k, v in cols.items()})
 
     kind = dict(base.dtypes)["id"]
-    return joined.groupBy("s", "shard").applyInArrow(lay, f"id {kind}, size long, source_size long, target double, full int, run_from long, run_to long, run2_from long, run2_to long")
+    return joined.groupBy("s", "shard").applyInArrow(lay, f"id {kind}, th long, size long, source_size long, target double, full int, run_from long, run_to long, run2_from long, run2_to long")
 
 
 def taken_words() -> Column:
@@ -162,7 +165,8 @@ def cut_words(text: str, start: int, end: int) -> str:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each whole copy and for each part of a text that is taken.
 
-    Ids must be unique here; n_chars, where there is such a column, is the new text's.
+    Of rows that are equal in id and text one stands for all, as often as the mix takes them together; different texts
+    may have one id, or none. n_chars, where there is such a column, is the new text's.
     """
     small_batches(docs.sparkSession)
     args = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "block_words": 32, "seed": 20} | options
@@ -176,9 +180,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = lambda a, b: F.when(F.col(b) > F.col(a), F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))))
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     pieces = F.concat(F.when(F.col("size") > 0, whole).otherwise(none), F.coalesce(part("run_from", "run_to"), none), F.coalesce(part("run2_from", "run2_to"), none))
-    spans = plan.select(F.col("id").alias("_id"), "size", F.explode(pieces).alias("_p")).select("_id", F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"), ((F.col("_p.a") == 0) & (F.col("_p.b") == F.col("size"))).alias("_whole"))
+    spans = plan.select("id", "th", "size", F.explode(pieces).alias("_p")).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"), ((F.col("_p.a") == 0) & (F.col("_p.b") == F.col("size"))).alias("_whole"))
+    spans = keep(spans)
     cols = docs.columns
-    rows = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]))
+    same = lambda d, t: d[id_col].eqNullSafe(t["_id"]) & (F.xxhash64(d[text_col]) == t["_th"])
+    repeated = small(keep(plan.select(F.col("id").alias("_id"), F.col("th").alias("_th")).groupBy("_id", "_th").count().where("count > 1").drop("count")))
+    once = docs.join(repeated, same(docs, repeated), "left_anti").select(*cols)
+    several = docs.join(repeated, same(docs, repeated), "left_semi").select(*cols, F.xxhash64(text_col).alias("_one")).dropDuplicates([id_col, "_one"]).drop("_one")
+    either = once.unionByName(several)
+    rows = either.join(spans, same(either, spans))
     whole_rows = rows.where("_whole").select(*cols)
     cut_rows = rows.where("not _whole").withColumn(text_col, cut(text_col, "_a", "_b"))
     if "n_chars" in cols:

@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for this session where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, and all run in one process, one made for this session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("latentia.tables.dir", None) or f"file://{tempfile.mkdtemp(prefix='latentia-')}"
         spark.conf.set("latentia.tables.dir", base)
     return base
