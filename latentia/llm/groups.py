@@ -17,6 +17,7 @@ groups of limited size that give confirmed links only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +162,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 #: Rows that meet in one task, pairs that one part of a bucket and one step of a task look at, and candidate rows verified together, about.
-MEET_ROWS, MEET_PAIRS, STEP_PAIRS, GROUP_ROWS = 20_000, 4_000_000, 500_000, 2_000
+MEET_ROWS, MEET_PAIRS, STEP_PAIRS, GROUP_ROWS = 20_000, 4_000_000, 100_000, 2_000
 
 
 def overlapping(left: pa.Array, i: np.ndarray, right: pa.Array, j: np.ndarray) -> np.ndarray:
@@ -181,7 +182,7 @@ def overlapping(left: pa.Array, i: np.ndarray, right: pa.Array, j: np.ndarray) -
 
 
 def meet(active: DataFrame, centres: DataFrame, n_groups: int, may_link: Callable | None, payload: tuple[str, ...]) -> DataFrame:
-    """k (a part of a bucket), a, bs: each member with the centres of its bucket that it may be linked with.
+    """k (a part of a bucket), a, comp, bs: each member with the centres of its bucket that it may be linked with.
 
     Rows of many buckets meet in one task and are matched as arrays; a large bucket is split, and its centres go to each part.
     """
@@ -196,7 +197,7 @@ def meet(active: DataFrame, centres: DataFrame, n_groups: int, may_link: Callabl
         return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_k, found_a, found_b, sizes = [], [], [], []
+        found_k, found_a, found_c, found_b, sizes = [], [], [], [], []
         if left.num_rows and right.num_rows:
             lk, rk = left["k"].to_numpy(), right["k"].to_numpy()
             order = np.argsort(rk, kind="stable")
@@ -227,56 +228,98 @@ def meet(active: DataFrame, centres: DataFrame, n_groups: int, may_link: Callabl
                     first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
                     found_k.append(lk[i[first]])
                     found_a.append(nodes[i[first]])
+                    found_c.append(values["comp"][0][i[first]])
                     sizes.append(np.diff(np.r_[first, len(i)]))
                     found_b.append(c_nodes[j])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(join(sizes))].astype(np.int32)), pa.array(join(found_b)))
-        return pa.table({"k": pa.array(join(found_k)), "a": pa.array(join(found_a)), "bs": lists})
+        return pa.table({"k": pa.array(join(found_k)), "a": pa.array(join(found_a)), "comp": pa.array(join(found_c)), "bs": lists})
 
-    return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "k long, a long, bs array<long>")
+    return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "k long, a long, comp long, bs array<long>")
 
 
-def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, gather: Callable[[list], object], alike: Callable) -> DataFrame:
-    """The links (a, b) among candidates (k, a, bs) whose data (node, data) are alike.
+@dataclass
+class Test:
+    """When two data are alike. gather: from a list of data what the others need, which name data by their places.
 
-    The candidates of one k are split into parts of limited size, and their centres (k, b) go to each part.
+    possible: for one datum and an array of others, which may be alike. quick, if there is one: whether two are alike for
+    certain, else nothing. exact: whether two are alike.
+    """
+
+    gather: Callable[[list], object]
+    possible: Callable[[object, int, np.ndarray], np.ndarray]
+    exact: Callable[[object, int, int], bool]
+    quick: Callable[[object, int, int], bool] | None = None
+
+
+class Joined:
+    """Which components are joined already, in one task."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.above.get(root, root)) != root:
+            root = up
+        while (up := self.above.get(x, x)) != root:
+            self.above[x], x = root, up
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.find(x)] = self.find(y)
+
+
+def settle(candidates: DataFrame, centres: DataFrame, data: DataFrame, test: Test) -> DataFrame:
+    """Links (a, b) among candidates (k, a, comp, bs) whose data (node, data) are alike; none between components that others of the same task join.
+
+    The candidates of one k are split into parts of limited size, and their centres (k, b, comp_b) go to each part.
     """
     n = max(1, candidates.count() // GROUP_ROWS)
     parts = small(keep(candidates.groupBy("k").agg((F.count(F.lit(1)) / GROUP_ROWS + 1).cast("int").alias("n_parts"))))
     group = F.pmod(F.xxhash64("k", "part"), F.lit(n)).cast("int").alias("g")
-    left = candidates.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("a", F.lit("part")), F.col("n_parts")).cast("int"))
-    left = left.select(group, "a", "bs").join(data.select(F.col("node").alias("a"), F.col("data").alias("da")), "a").select("g", "a", "bs", "da")
+    left = candidates.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("comp", "a", F.lit("part")), F.col("n_parts")).cast("int"))
+    left = left.select(group, "a", "comp", "bs").join(data.select(F.col("node").alias("a"), F.col("data").alias("da")), "a").select("g", "a", "comp", "bs", "da")
     right = centres.join(parts, "k").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    right = right.select(group, "b").distinct().join(data.select(F.col("node").alias("b"), F.col("data").alias("db")), "b").select(F.col("g").alias("g2"), "b", "db")
+    right = right.select(group, "b", "comp_b").distinct().join(data.select(F.col("node").alias("b"), F.col("data").alias("db")), "b").select(F.col("g").alias("g2"), "b", "comp_b", "db")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows:
-            ids, bs = left["a"].to_numpy(), left["bs"].combine_chunks()
-            centre = right["b"].to_numpy()
+            ids, comps, bs = left["a"].to_numpy(), left["comp"].to_pylist(), left["bs"].combine_chunks()
+            centre, centre_comps = right["b"].to_numpy(), right["comp_b"].to_pylist()
             order = np.argsort(centre)
             place = order[np.searchsorted(centre[order], bs.flatten().to_numpy())]  # of each candidate's centre on the right
             ends = np.cumsum(np.diff(bs.offsets.to_numpy()))
-            held = gather(right["db"].to_pylist() + left["da"].to_pylist())
+            held, joined = test.gather(right["db"].to_pylist() + left["da"].to_pylist()), Joined()
+            open_pairs = []
             for i, (start, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
                 js = place[start:end]
-                js = js[alike(held, len(centre) + i, js)]
-                found_a.append(np.full(len(js), ids[i]))
-                found_b.append(centre[js])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"a": join(found_a), "b": join(found_b)})
+                open_pairs += [(i, j) for j in js[test.possible(held, len(centre) + i, js)].tolist()]
+            for check in (test.quick, test.exact):  # what is cheap to see joins components first
+                rest = []
+                for i, j in open_pairs:
+                    if check is None or joined.find(comps[i]) == joined.find(centre_comps[j]):
+                        rest.append((i, j))
+                    elif check(held, len(centre) + i, j):
+                        joined.join(comps[i], centre_comps[j])
+                        found_a.append(ids[i])
+                        found_b.append(centre[j])
+                    else:
+                        rest.append((i, j))
+                open_pairs = rest
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return left.groupBy("g").cogroup(right.groupBy("g2")).applyInArrow(run, "a long, b long")
 
 
-def link_groups(members: DataFrame, data: DataFrame, gather: Callable[[list], object], alike: Callable, may_link: Callable | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Components (node, comp) of the nodes with a link, and the confirmed links (a, b).
+def link_groups(members: DataFrame, data: DataFrame, test: Test, may_link: Callable | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Components (node, comp) of the nodes with a link, and confirmed links (a, b) that hold them together.
 
     members: bucket, node, before and the payload columns, each node once in a bucket, of buckets with two nodes or
     more. before: the node's buckets that stand earlier in an order that all nodes share; a pair is
     settled in the first of its common buckets only, and so once.
-    data: node, data. gather: what alike(gathered, i, js) needs of a list of data to say whether the datum i is like
-    each of js, as an array. may_link: from the payload
+    data: node, data. test: when data are alike. may_link: from the payload
     columns of both sides, as arrays, the pairs that are worth a look at the data.
     """
     state = members.select("bucket", "node", F.col("node").alias("comp"), "before", *payload)
@@ -301,8 +344,8 @@ def link_groups(members: DataFrame, data: DataFrame, gather: Callable[[list], ob
         centres = keep(chosen.select("bucket", "n_parts", *[F.col(x).alias(f"c_{x}") for x in carried]))
         candidates = keep(meet(active, centres, max(1, n_active // MEET_ROWS), may_link, payload))
         if candidates.limit(1).count():
-            of_parts = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).select(F.xxhash64("bucket", "part").alias("k"), F.col("c_node").alias("b"))
-            good = keep(settle(candidates, of_parts, data, gather, alike))
+            of_parts = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1))).select(F.xxhash64("bucket", "part").alias("k"), F.col("c_node").alias("b"), F.col("c_comp").alias("comp_b"))
+            good = keep(settle(candidates, of_parts, data, test))
             links = good if links is None else links.union(good)
             if good.limit(1).count():
                 if comps is not None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentia.llm.groups import link_groups, shared_members, small, with_earlier
+from latentia.llm.groups import Test, link_groups, shared_members, small, with_earlier
 from latentia.llm.kernels import WordHasher, U, buffers, distinct, grams, mix
 from latentia.llm.tables import keep, read, small_batches
 from latentia.llm.token_count import worker_store
@@ -166,21 +166,20 @@ def sorted_sets(data: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in data]
 
 
-def near(threshold: int) -> Callable:
-    """Whether a sorted set shares enough elements with each of others: 100 * shared >= threshold * all."""
+def likeness(threshold: int) -> Test:
+    """Sorted sets that share enough of their elements: 100 * shared >= threshold * all."""
 
-    def check(held: list[np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
-        own, out = held[i], np.zeros(len(js), bool)
-        for k, j in enumerate(js.tolist()):
-            b = held[j]
-            x, y = (own, b) if len(own) <= len(b) else (b, own)
-            if 100 * len(x) >= threshold * len(y):
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                out[k] = 100 * shared >= threshold * (len(x) + len(y) - shared)
-        return out
+    def possible(held: list[np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
+        n, m = len(held[i]), np.array([len(held[j]) for j in js.tolist()])
+        return 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
 
-    return check
+    def exact(held: list[np.ndarray], i: int, j: int) -> bool:
+        x, y = sorted((held[i], held[j]), key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        shared = int((y[at] == x).sum())
+        return 100 * shared >= threshold * (len(x) + len(y) - shared)
+
+    return Test(sorted_sets, possible, exact)
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
@@ -195,7 +194,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataF
     first_row = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash"))
     wanted = nodes.groupBy("node").agg(first_row.alias("k")).select("node", "k.id", "k.text_hash").join(some, "node")
     sets = keep(set_table(docs, id_col, text_col, small(keep(wanted))))
-    comps, _ = link_groups(members, sets.select("node", F.col("set").alias("data")), sorted_sets, near(threshold), may_be_near(threshold), payload)
+    comps, _ = link_groups(members, sets.select("node", F.col("set").alias("data")), likeness(threshold), may_be_near(threshold), payload)
     labelled = table.select("id", "text_hash", "n_shingles", "node").join(small(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("k"))
     out = labelled.join(first, "comp", "left")
