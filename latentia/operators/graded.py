@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentia.functions import irf
-from latentia.functions.special import normal_quadrature
+from latentia.operators.scoring import patterned, posterior_moments
 
 
 def partial_credit_fit(responses: DataFrame, bank: DataFrame, theta: DataFrame) -> DataFrame:
@@ -23,29 +23,15 @@ def partial_credit_fit(responses: DataFrame, bank: DataFrame, theta: DataFrame)
 
 
 def graded_eap(responses: DataFrame, bank: DataFrame, n_nodes: int = 21) -> DataFrame:
-    """person_id, theta, se under the graded response model; bank: item_id, a, steps (rising thresholds). Equal patterns are scored once."""
-    packed = F.broadcast(bank.agg(F.map_from_entries(F.collect_list(F.struct("item_id", F.struct("a", "steps")))).alias("bank")))
-    persons = responses.where("resp is not null").groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "resp"))).alias("pattern"))
-    x, w = normal_quadrature(n_nodes)
-    nodes = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("w")) for t, v in zip(x, w, strict=True)])
-
-    def ll(node):
-        def add(s, cell):
-            steps, a = cell["i"]["steps"], cell["i"]["a"]
-            low = F.coalesce(irf.p_2pl(node["t"], a, F.get(steps, cell["resp"] - 1)), F.lit(1.0))
-            high = F.coalesce(irf.p_2pl(node["t"], a, F.get(steps, cell["resp"])), F.lit(0.0))
-            return s + F.log(irf.clip(low - high))
-
-        return F.log(node["w"]) + F.aggregate("cells", F.lit(0.0), add)
-
-    df = persons.select("pattern").distinct().join(packed)
-    df = df.withColumn("cells", F.transform("pattern", lambda c: F.struct(c["resp"].alias("resp"), F.element_at("bank", c["item_id"]).alias("i")))).drop("bank")
-    df = df.withColumn("nodes", nodes).withColumn("ll", F.transform("nodes", ll)).drop("cells").withColumn("top", F.array_max("ll"))
-    df = df.withColumn("post", F.zip_with("nodes", "ll", lambda n, v: F.struct(n["t"].alias("t"), F.exp(v - F.col("top")).alias("p")))).select("pattern", "post")
-    z = F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"])
-    df = df.withColumn("theta", F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"] * n["t"]) / z)
-    var = F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"] * (n["t"] - F.col("theta")) * (n["t"] - F.col("theta"))) / z
-    return persons.join(df.select("pattern", "theta", F.sqrt(var).alias("se")), "pattern").drop("pattern")
+    """person_id, theta, se under the graded response model; bank: item_id, a, steps (rising thresholds). Equal patterns are scored once; a person without answers has the prior's values."""
+    def log_p(t: float) -> Column:
+        curve = lambda k: irf.p_2pl(F.lit(t), F.col("a"), F.get(F.col("steps"), k))
+        low, high = F.coalesce(curve(F.col("resp") - 1), F.lit(1.0)), F.coalesce(curve(F.col("resp")), F.lit(0.0))
+        return F.when(F.col("resp").isNotNull() & F.col("a").isNotNull(), F.log(irf.clip(low - high)))
+
+    persons = patterned(responses)
+    scored = posterior_moments(persons.select("pattern").distinct(), bank.select("item_id", "a", "steps"), log_p, n_nodes)
+    return persons.join(scored, "pattern").select("person_id", "theta", "se")
 
 
 def adjacent(responses: DataFrame, top: int) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.functions import irf
@@ -14,46 +19,102 @@ def quadrature(spark: SparkSession, n: int = 21) -> DataFrame:
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, w, strict=True))], "q int, node double, w double")
 
 
-#: Most items of a bank whose parameters stand in a map of the plan.
-MAX_ITEMS = 10_000
+def patterned(responses: DataFrame) -> DataFrame:
+    """person_id and pattern (array of item_id, resp in item order); a person whose answers are all missing has an empty one."""
+    cell = F.when(F.col("resp").isNotNull(), F.struct("item_id", "resp"))
+    return responses.groupBy("person_id").agg(F.array_sort(F.collect_list(cell)).alias("pattern"))
+
 
+def posterior_moments(patterns: DataFrame, bank: DataFrame, log_p: Callable[[float], Column], n_nodes: int) -> DataFrame:
+    """pattern to theta and se: mean and deviation of the posterior under a standard normal prior.
 
-def eap_patterns(patterned: DataFrame, bank: DataFrame, n_nodes: int = 21) -> DataFrame:
-    """pattern (array of structs item_id, resp) to theta and se. The likelihood is a fold over the pattern, so no row is made for an item."""
-    spark = patterned.sparkSession
+    Cells meet the bank in a join, so it may have any number of items, and each node's log-likelihood is a sum.
+    Answers to items outside the bank do not count; without any the prior is left.
+    """
     x, w = normal_quadrature(n_nodes)
-    rows = bank.select("item_id", "a", "b").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    params = {int(r["item_id"]): (float(r["a"]), float(r["b"])) for r in rows}
-    a = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, p[0])])
-    b = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, p[1])])
-    nodes = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("w")) for t, v in zip(x, w, strict=True)])
-
-    def ll(node):
-        def add(s, cell):
-            p = irf.clip(irf.p_2pl(node["t"], cell["a"], cell["b"]))
-            return s + F.when(cell["resp"] == 1, F.log(p)).otherwise(F.log(1 - p))
-
-        return F.log(node["w"]) + F.aggregate("cells", F.lit(0.0), add)
-
-    cells = F.transform("pattern", lambda c: F.struct(c["resp"].alias("resp"), F.element_at(F.col("_a"), c["item_id"]).alias("a"), F.element_at(F.col("_b"), c["item_id"]).alias("b")))
-    df = patterned.withColumns({"_a": a, "_b": b}).withColumn("cells", cells).drop("_a", "_b").withColumn("nodes", nodes)
-    df = df.withColumn("ll", F.transform("nodes", ll)).drop("cells").withColumn("top", F.array_max("ll"))
-    df = df.withColumn("post", F.zip_with("nodes", "ll", lambda n, v: F.struct(n["t"].alias("t"), F.exp(v - F.col("top")).alias("p")))).drop("nodes", "ll", "top")
-    df = df.withColumn("z", F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"]))
-    df = df.withColumn("theta", F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"] * n["t"]) / F.col("z"))
-    var = F.aggregate("post", F.lit(0.0), lambda s, n: s + n["p"] * (n["t"] - F.col("theta")) * (n["t"] - F.col("theta"))) / F.col("z")
-    return df.withColumn("se", F.sqrt(var)).drop("post", "z")
+    cells = patterns.select("pattern", F.explode_outer("pattern").alias("cell")).select("pattern", F.col("cell.item_id").alias("item_id"), F.col("cell.resp").alias("resp"))
+    logs = cells.join(bank, "item_id", "left").groupBy("pattern").agg(*[F.coalesce(F.sum(log_p(float(t))), F.lit(0.0)).alias(f"l{k}") for k, t in enumerate(x)])
+    df = logs.withColumns({f"l{k}": F.col(f"l{k}") + math.log(v) for k, v in enumerate(w)})
+    df = df.withColumn("top", F.greatest(*[f"l{k}" for k in range(n_nodes)])).withColumns({f"l{k}": F.exp(F.col(f"l{k}") - F.col("top")) for k in range(n_nodes)})
+    add = lambda f: sum((f(k, float(t)) for k, t in enumerate(x)), F.lit(0.0))
+    df = df.withColumn("z", add(lambda k, t: F.col(f"l{k}"))).withColumn("theta", add(lambda k, t: F.col(f"l{k}") * t) / F.col("z"))
+    return df.select("pattern", "theta", F.sqrt(add(lambda k, t: F.col(f"l{k}") * (F.lit(t) - F.col("theta")) * (F.lit(t) - F.col("theta"))) / F.col("z")).alias("se"))
 
 
 def eap(responses: DataFrame, bank: DataFrame, n_nodes: int = 21) -> DataFrame:
-    """person_id, theta, se. Persons with the same pattern are scored once."""
-    persons = responses.where("resp is not null").groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "resp"))).alias("pattern"))
-    scored = eap_patterns(persons.select("pattern").distinct(), bank, n_nodes)
+    """person_id, theta, se. Persons with the same pattern are scored once; one without answers has the prior's mean and deviation."""
+    def log_p(t: float) -> Column:
+        p = irf.clip(irf.p_2pl(F.lit(t), F.col("a"), F.col("b")))
+        return F.when(F.col("resp") == 1, F.log(p)).when(F.col("resp") == 0, F.log(1 - p))
+
+    persons = patterned(responses)
+    scored = posterior_moments(persons.select("pattern").distinct(), bank.select("item_id", "a", "b"), log_p, n_nodes)
+    return persons.join(scored, "pattern").select("person_id", "theta", "se")
+
+
+#: Ends of the scale on which a point estimate is looked for.
+BOUNDS = (-6.0, 6.0)
+
+
+def point_estimates(responses: DataFrame, bank: DataFrame, method: str = "ml", mean: float = 0.0, sd: float = 1.0, steps: int = 50) -> DataFrame:
+    """person_id, theta, se under the two-parameter model by ml (maximum likelihood), map (with a normal prior) or wle (weighted likelihood).
+
+    The derivative falls with theta; its zero is found by halving the bounds, for many patterns at once. A pattern without
+    a zero inside, as all right under ml, gets the nearer bound; a person without answers the prior's values under map, else null.
+    """
+    if method not in ("ml", "map", "wle"):
+        raise ValueError(f"unknown method {method}")
+    persons = patterned(responses)
+    cells = persons.select("pattern").distinct().select("pattern", F.explode_outer("pattern").alias("cell")).select("pattern", F.col("cell.item_id").alias("item_id"), F.col("cell.resp").alias("resp"))
+    joined = cells.join(bank.select("item_id", "a", "b"), "item_id", "left").where("a is not null or item_id is null")
+    rows = joined.groupBy("pattern").agg(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("item_id", "a", "b", F.col("resp").cast("double").alias("x"))))).alias("c"))
+    rows = rows.select("pattern", F.col("c.a").alias("a"), F.col("c.b").alias("b"), F.col("c.x").alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("a").offsets.to_numpy())
+            n, j = len(sizes), int(sizes.max()) if len(sizes) else 0
+            at = (np.repeat(np.arange(n), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            a, b, x = np.zeros((n, j)), np.zeros((n, j)), np.zeros((n, j))
+            for m, name in ((a, "a"), (b, "b"), (x, "x")):
+                m[at] = batch.column(name).flatten().to_numpy()  # places without an answer keep slope 0
+
+            def parts(theta):
+                p = 1 / (1 + np.exp(-np.clip(a * (theta[:, None] - b), -700, 700)))
+                info = (a * a * p * (1 - p)).sum(1)
+                slope = (a * (x - p)).sum(1)
+                if method == "map":
+                    slope = slope - (theta - mean) / sd**2
+                elif method == "wle":
+                    slope = slope + np.divide((a**3 * p * (1 - p) * (1 - 2 * p)).sum(1), 2 * info, out=np.zeros(n), where=info > 0)
+                return slope, info
+
+            low, high = np.full(n, BOUNDS[0]), np.full(n, BOUNDS[1])
+            for _ in range(steps):
+                mid = (low + high) / 2
+                up = parts(mid)[0] > 0
+                low, high = np.where(up, mid, low), np.where(up, high, mid)
+            theta = (low + high) / 2
+            info = parts(theta)[1] + (1 / sd**2 if method == "map" else 0)
+            none = (sizes == 0) & (method != "map")
+            se = np.divide(1.0, np.sqrt(info), out=np.full(n, np.inf), where=info > 0)
+            yield pa.RecordBatch.from_pydict({"pattern": batch.column("pattern"), "theta": pa.array(theta, mask=none), "se": pa.array(se, mask=none)})
+
+    kind = dict(rows.dtypes)["pattern"]
+    scored = rows.mapInArrow(run, f"pattern {kind}, theta double, se double")
     return persons.join(scored, "pattern").select("person_id", "theta", "se")
 
 
+def fscores(responses: DataFrame, bank: DataFrame, method: str = "eap", n_nodes: int = 21) -> DataFrame:
+    """person_id, theta, se by eap, map, ml, wle or eapsum (from the sum over all items of the bank)."""
+    if method == "eap":
+        return eap(responses, bank, n_nodes)
+    if method == "eapsum":
+        sums = responses.groupBy("person_id").agg(F.coalesce(F.sum("resp"), F.lit(0)).cast("int").alias("score"))
+        return sums.join(F.broadcast(eap_by_sum(bank, n_nodes)), "score").select("person_id", "theta", "se")
+    return point_estimates(responses, bank, method)
+
+
 def information_grid(bank: DataFrame, low: float = -4, high: float = 4, n: int = 81) -> DataFrame:
     """theta, information and standard error of the test."""
     grid = bank.sparkSession.range(n).select((F.lit(low) + (high - low) * F.col("id") / (n - 1)).alias("theta"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from latentia.plans import curves, queries
+from latentia.plans import curves, estimates, queries, statistics
 
-MODULES = (queries, curves)
+MODULES = (queries, curves, statistics, estimates)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -69,14 +69,48 @@ def test_calibration_query_runs_until_it_converged(spark):
     assert not short.converged and np.abs(short.a - np.array([r.a for r in sorted(got, key=lambda r: r.item_id)])).max() > 0.01
 
 
-def test_a_bank_too_large_for_scores_is_refused(spark):
+def test_scores_from_a_large_bank_and_without_answers(spark):
+    """A bank of any size scores; who answered nothing, or only what the bank lacks, has the prior's values."""
     from latentia.operators import scoring
 
-    bank = spark.range(10_001).selectExpr("cast(id as int) as item_id", "1.0D as a", "0.0D as b")
-    r = spark.createDataFrame([(1, 1, 1)], "person_id long, item_id int, resp int")
-    with pytest.raises(ValueError, match="10000 items"):
-        scoring.eap(r, bank)
-    assert scoring.eap(r, bank.where("item_id < 5")).count() == 1
+    bank = spark.range(10_050).selectExpr("cast(id as int) as item_id", "1.0D as a", "0.0D as b")
+    r = spark.createDataFrame([(1, 10_040, 1), (2, 1, None), (3, 20_000, 1)], "person_id long, item_id int, resp int")
+    got = {x.person_id: x for x in scoring.eap(r, bank).collect()}
+    assert got[1].theta > 0.3 and got[2].theta == pytest.approx(0) and got[2].se == pytest.approx(1) and got[3].theta == pytest.approx(0)
+    for method in ("ml", "wle"):
+        out = {x.person_id: x for x in scoring.fscores(r, bank, method).collect()}
+        assert out[2].theta is None and out[1].theta is not None
+    assert {x.person_id: round(x.theta, 6) for x in scoring.fscores(r, bank, "map").collect()}[2] == 0
+
+
+def test_smoothed_importance_weights(spark):
+    """Leave-one-out of a normal mean with known variance, against the exact predictive density."""
+    from latentia.operators import posterior
+
+    rng = np.random.default_rng(3)
+    y = rng.normal(0, 1, 30)
+    draws = rng.normal(y.mean(), 1 / np.sqrt(30), 2000)
+    rows = [(i, k, float(-0.5 * np.log(2 * np.pi) - 0.5 * (v - m) ** 2)) for i, v in enumerate(y) for k, m in enumerate(draws)]
+    got = {r.person_id: r for r in posterior.psis_loo(spark.createDataFrame(rows, "person_id long, draw int, ll double")).collect()}
+    for i, v in enumerate(y):
+        rest = np.delete(y, i)
+        var = 1 + 1 / 29
+        assert got[i].elpd == pytest.approx(-0.5 * np.log(2 * np.pi * var) - 0.5 * (v - rest.mean()) ** 2 / var, abs=0.02) and got[i].k < 0.7
+
+
+def test_linking_recovers_a_transformation(spark):
+    from latentia.operators import equating
+
+    old = src.bank(spark)
+    new = old.withColumns({"a": F.col("a") * 0.8, "b": (F.col("b") + 0.5) / 0.8})
+    for method in ("mean_sigma", "mean_mean", "haebara", "stocking_lord"):
+        assert equating.constants(equating.anchors(old, new), method) == pytest.approx((0.8, -0.5), abs=1e-4)
+    odd = new.withColumn("b", F.when(F.col("item_id") == 4, F.col("b") + 2).otherwise(F.col("b")))
+    stay, slope, shift = equating.purified(old, odd)
+    assert stay == [1, 2, 3, 5, 6, 7] and (slope, shift) == pytest.approx((0.8, -0.5), abs=1e-6)
+    assert equating.chain([(2.0, 1.0), (0.5, -1.0)], 1) == [pytest.approx((0.5, -0.5)), (1.0, 0.0), pytest.approx((0.5, -1.0))]
+    drifted = {r.item_id: r.n_flagged for r in equating.longitudinal_drift([old, old, old.withColumn("b", F.when(F.col("item_id") == 1, 9.0).otherwise(F.col("b")))], 0, 1.0).collect()}
+    assert drifted[1] >= 1
 
 
 def test_wide_and_back_and_validation(spark):
