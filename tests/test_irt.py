@@ -95,7 +95,7 @@ def test_smoothed_importance_weights(spark):
     for i, v in enumerate(y):
         rest = np.delete(y, i)
         var = 1 + 1 / 29
-        assert got[i].elpd == pytest.approx(-0.5 * np.log(2 * np.pi * var) - 0.5 * (v - rest.mean()) ** 2 / var, abs=0.02) and got[i].k < 0.7
+        assert got[i].elpd == pytest.approx(-0.5 * np.log(2 * np.pi * var) - 0.5 * (v - rest.mean()) ** 2 / var, abs=0.05) and got[i].k < 0.7
 
 
 def test_linking_recovers_a_transformation(spark):
