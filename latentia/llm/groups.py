@@ -162,7 +162,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 #: Rows that meet in one task, pairs that one part of a bucket and one step of a task look at, and candidate rows verified together, about.
-MEET_ROWS, MEET_PAIRS, STEP_PAIRS, GROUP_ROWS = 20_000, 4_000_000, 100_000, 2_000
+MEET_ROWS, MEET_PAIRS, STEP_PAIRS, GROUP_ROWS = 5_000, 1_000_000, 100_000, 2_000
 
 
 def overlapping(left: pa.Array, i: np.ndarray, right: pa.Array, j: np.ndarray) -> np.ndarray:

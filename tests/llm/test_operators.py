@@ -379,7 +379,8 @@ def test_recall_of_similar_lines_against_brute_force(low, high, edits):
             lines += [a, "".join(b)]
     raw, offsets, n, _, _ = line_dedup.normal_lines(["\n".join(lines)])
     h, _, starts = WordHasher(False).words(raw, offsets)
-    keys, rows = line_dedup.line_keys(h, starts, 8)
+    chars = np.array([len(x) for x in lines])
+    keys, rows = line_dedup.line_keys(h, starts, chars, 8, 0.9)
     held = collections.defaultdict(set)
     for k, r in zip(keys.tolist(), rows.tolist()):
         held[r].add(k)
@@ -389,6 +390,19 @@ def test_recall_of_similar_lines_against_brute_force(low, high, edits):
     assert total > 30 and found >= (total if edits > 0 else 0.9 * total)
 
 
+def test_classes_of_length_part_no_similar_lines():
+    """Any two lengths of which the shorter has nine tenths of the longer share a class."""
+    n = np.arange(1, 3000)
+    line, group = line_dedup.length_classes(n, 0.9)
+    held = collections.defaultdict(set)
+    for i, g in zip(line.tolist(), group.tolist()):
+        held[int(n[i])].add(g)
+    for longer in range(1, 3000):
+        shorter = longer - int(longer * (1 - 0.9) + 1e-9)
+        assert all(held[x] & held[longer] for x in range(max(1, shorter), longer + 1))
+    assert max(map(len, held.values())) <= 2
+
+
 def test_normal_lines_equal_the_plain_rule():
     texts = ["Ärger über 12 Dinge!\n\n  -- \nNaïve_façade – it's 3.5%", None, "", "今日は良い天気です\nmixed 中文 words", "tab\tand\rreturn\x0bx", "ΑΒΓ δεζ\n١٢", "a\n"]
     raw, offsets, n, text, place = line_dedup.normal_lines(texts)

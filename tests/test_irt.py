@@ -2,11 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latentia.functions import irf
 from latentia.functions.special import chi2_sf, normal_cdf, normal_quadrature
 from latentia.operators import calibrate, classical, scoring
-from latentia.plans.queries import ORACLES, QUERIES
+from latentia.plans.catalogue import ORACLES, QUERIES
 from latentia.sources import responses as src
 from latentia.streaming import tracing
 
