@@ -201,3 +201,61 @@ ORACLES = {
     "irt_dic": f"with {DRAWS}, t as (select draw, sum(ll) as ll from ll group by 1), m as (select avg(ll) as a, max(ll) filter (draw=2) as c from t) select round(-2*c+2*2*(c-a),4) as dic, round(2*(c-a),4) as p_dic from m",
     "irt_posterior_summary": "select event_type as param, count(*) as n, round(avg(x),6) as mean, round(stddev_samp(x),6) as sd, round(quantile_cont(x,0.025),6) as low, round(quantile_cont(x,0.975),6) as high from (select event_type, case when value > 35 then 1.0::double else 0.0::double end as x from events) group by 1",
 }
+
+
+def expected_counts(spark, d):
+    """One step of a calibration at given parameters: expected answers by item, category and node."""
+    import numpy as np
+
+    from latentia.functions.special import normal_quadrature
+    from latentia.operators import models
+    from latentia.operators.calibrate import weighted_patterns
+
+    x, w = normal_quadrature(21)
+    curves = []
+    for i in range(1, 8):
+        a, b = 0.6 + 0.2 * i, -1.5 + 0.5 * i
+        above = [1 / (1 + np.exp(-a * (x - b - s))) for s in (-0.5, 0.0, 0.5)]
+        curves.append(np.log(np.clip(-np.diff(np.vstack([np.ones(21), *above, np.zeros(21)]), axis=0), 1e-10, 1 - 1e-10)))
+    counts, _ = models.expected_counts(weighted_patterns(src.graded(spark, d)), list(range(1, 8)), curves, w)
+    rows = [(i + 1, c, q, float(counts[i, c, q])) for i in range(7) for c in range(4) for q in range(21)]
+    return rounded(spark.createDataFrame(rows, "item_id int, category int, node int, n double"), "n", digits=4)
+
+
+def calibrated_models(spark, d):
+    """Parameters of the answers under the one-parameter and the partial credit model, whether the fit converged beside them; rows only, as EM has no SQL form."""
+    from latentia.operators import models
+
+    out = None
+    for m, r in (("1PL", src.dichotomous(spark, d)), ("PCM", src.graded(spark, d))):
+        f = models.fit(r, m)
+        one = f.table(spark).withColumns({"model": F.lit(m), "converged": F.lit(f.converged)})
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "value", digits=3)
+
+
+def adaptive_sessions(spark, d):
+    """Simulated sessions of 300 persons on a drawn bank; rows only."""
+    from latentia.operators import cat
+
+    persons = sim.abilities(spark, 300, 8)
+    return rounded(cat.simulate(persons, sim.item_parameters(spark, 200, "2PL", seed=4), 1).drop("items", "answers"), "true_theta", "theta", "se")
+
+
+def smoothed_mastery(spark, d):
+    from latentia.streaming import smoothing
+
+    t = smoothing.trace_back(smoothing.sequences(src.trials(spark, d)))
+    return rounded(t.select("person_id", "skill", F.size("path").alias("n"), "log_likelihood", F.element_at("mastery", 1).alias("first"), F.element_at("mastery", -1).alias("last")), "log_likelihood", "first", "last")
+
+
+QUERIES |= {f"irt_{f.__name__}": f for f in (expected_counts, calibrated_models, adaptive_sessions, smoothed_mastery)}
+
+_PR = "pr as (select person_id, item_id, resp, q, node, w, least(greatest(case when resp=0 then 1 else 1/(1+exp(-(a*(node-(b-1.0::double+0.5::double*resp))))) end - case when resp=3 then 0 else 1/(1+exp(-(a*(node-(b-0.5::double+0.5::double*resp))))) end,1e-10),1-1e-10) as p from g join bank using (item_id), qn)"
+ORACLES |= {
+    "irt_expected_counts": f"with {A1.replace('r as', 'r_ as')}, g as (select l_orderkey as person_id, cast(l_linenumber as int) as item_id, cast(least(floor(min(l_quantity)/12.6), 3) as int) as resp from lineitem group by 1, 2), {BANK}, {QUAD}, qn as (select cast(row_number() over (order by node)-1 as int) as q, node, w from quad), {_PR}, l as (select person_id, q, ln(max(w))+sum(ln(p)) as ll from pr group by 1,2), e as (select person_id, q, exp(ll-max(ll) over (partition by person_id)) as u from l), po as (select person_id, q, u/sum(u) over (partition by person_id) as u from e), s as (select item_id, resp, q, sum(u) as n from g join po using (person_id) group by 1,2,3) select i.i::int as item_id, c.c::int as category, n.n::int as node, round(coalesce(s.n,0),4)+0.0 as n from range(1,8) i(i), range(4) c(c), range(21) n(n) left join s on s.item_id=i.i and s.resp=c.c and s.q=n.n",
+    "irt_smoothed_mastery": "with recursive e as (select user_id as person_id, event_type as skill, case when value > 35 then 1 else 0 end as x, row_number() over (partition by user_id, event_type order by ts, event_id) as k, count(*) over (partition by user_id, event_type) as n from events), "
+    "f(person_id, skill, k, a0, a1, ll) as (select person_id, skill, 0::bigint, 0.7::double, 0.3::double, 0.0::double from e where k=1 union all select person_id, skill, k, u0/(u0+u1), u1/(u0+u1), ll+ln(u0+u1) from (select f.person_id, f.skill, e.k, f.ll, (case when e.k=1 then a0 else a0*0.8::double+a1*0.02::double end)*case when x=1 then 0.2::double else 0.8::double end as u0, (case when e.k=1 then a1 else a0*0.2::double+a1*0.98::double end)*case when x=1 then 0.9::double else 0.1::double end as u1 from f join e on e.person_id=f.person_id and e.skill=f.skill and e.k=f.k+1)), "
+    "b(person_id, skill, k, b0, b1) as (select person_id, skill, n, 1.0::double, 1.0::double from e where k=n union all select person_id, skill, k, c0/(c0+c1), c1/(c0+c1) from (select b.person_id, b.skill, b.k-1 as k, 0.8::double*l0*b0+0.2::double*l1*b1 as c0, 0.02::double*l0*b0+0.98::double*l1*b1 as c1 from (select b.*, case when x=1 then 0.2::double else 0.8::double end as l0, case when x=1 then 0.9::double else 0.1::double end as l1 from b join e using (person_id, skill, k)) b where b.k > 1)), "
+    "s as (select f.person_id, f.skill, f.k, ll, a1*b1/(a0*b0+a1*b1) as m from f join b using (person_id, skill, k)) select person_id, skill, cast(max(k) as int) as n, round(arg_max(ll, k),6)+0.0 as log_likelihood, round(arg_min(m, k),6)+0.0 as first, round(arg_max(m, k),6)+0.0 as last from s group by 1,2",
+}
