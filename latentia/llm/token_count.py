@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentia.llm.kernels import buffers
-from latentia.llm.tables import read
+from latentia.llm.tables import read, small_batches
 
 #: Characters whose classes no recent Unicode version has changed; texts with others are split by the library itself.
 PLAIN = "[^\\x00-\\u07ff\\u2010-\\u203a\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3]"
@@ -124,6 +124,7 @@ class Merger:
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit (n_tokens above limit)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     kind = rows.schema[0].dataType.simpleString()
 
