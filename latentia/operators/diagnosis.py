@@ -27,8 +27,9 @@ def mastery_posterior(responses: DataFrame, needed: dict[int, int], n_attributes
     df = persons.select("pattern").distinct().withColumn("_m", masks)
     df = df.withColumn("cells", F.transform("pattern", lambda c: F.struct(c["resp"].alias("resp"), F.element_at(F.col("_m"), c["item_id"]).alias("mask")))).drop("_m")
     df = df.withColumn("ll", F.transform(F.array(*[F.lit(i) for i in range(1 << n_attributes)]), ll)).drop("cells")
-    df = df.withColumn("u", F.transform("ll", lambda x: F.exp(x - F.array_max("ll")))).withColumn("z", F.aggregate("u", F.lit(0.0), lambda s, x: s + x))
-    df = df.withColumn("post", F.transform("u", lambda x: F.round(x / F.col("z"), 9))).select("pattern", "post")
+    df = df.withColumn("top", F.array_max("ll")).withColumn("u", F.transform("ll", lambda x: F.exp(x - F.col("top")))).withColumn("z", F.aggregate("u", F.lit(0.0), lambda s, x: s + x))
+    df = df.select("pattern", F.transform("u", lambda x: x / F.col("z")).alias("post")).withColumn("best", F.array_max("post"))
     marginals = [sum((F.element_at("post", i + 1) for i in range(1 << n_attributes) if i >> k & 1), F.lit(0.0)).alias(f"p{k}") for k in range(n_attributes)]
-    df = df.select("pattern", (F.array_position("post", F.array_max("post")) - 1).cast("int").alias("profile"), F.array_max("post").alias("posterior"), *marginals)
+    first = F.array_position(F.transform("post", lambda x: x >= F.col("best") - 1e-9), True) - 1  # equal but for rounding
+    df = df.select("pattern", first.cast("int").alias("profile"), F.col("best").alias("posterior"), *marginals)
     return persons.join(df, "pattern").drop("pattern")

@@ -206,7 +206,7 @@ def empirical_bins(spark, d):
 
 def mastery(spark, d):
     """Three attributes; the bits of an item's number are those it needs."""
-    return rounded(diagnosis.mastery_posterior(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3, 0.1, 0.2), "posterior", "p0", "p1", "p2")
+    return rounded(rounded(diagnosis.mastery_posterior(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3, 0.1, 0.2), "posterior", "p0", "p1", "p2", digits=9), "posterior", "p0", "p1", "p2")
 
 
 def area_between(spark, d):

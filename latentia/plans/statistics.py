@@ -165,7 +165,22 @@ def pair_moments(spark, d):
     return rounded(dg.pair_moments(src.dichotomous(spark, d)), "cov", "corr", "log_odds")
 
 
-QUERIES = {f"irt_{f.__name__}": f for f in (expand_table, recode, likert, dichotomise_at_median, dichotomise_by_item, complete_rows, completed_by_mean, completed_by_mode, check_patterns, missing_by, collapse_with_groups, item_frequencies, clinical_significance, change_with_errors, grouped_item_chi2, fit_indices, deviance_residuals, flagged_persons, flagged_pairs, parameter_dif, flagged_items, effect_sizes, test_functioning, response_functioning, residual_groups, residual_pairs, kernel_smooth, empirical_rmsea, pair_moments)}
+def mastery_any(spark, d):
+    """As irt_mastery, but any of an item's attributes is enough."""
+    from latentia.operators import diagnosis
+
+    columns = ("posterior", "p0", "p1", "p2")
+    found = diagnosis.mastery_posterior(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3, 0.1, 0.2, every=False)
+    return rounded(rounded(found, *columns, digits=9), *columns)
+
+
+def partial_correlations(spark, d):
+    """Edges of a Gaussian network; rows only, as the inverse of a matrix has no SQL form."""
+    r = src.dichotomous(spark, d)
+    return rounded(dg.partial_correlations(dg.pair_moments(r), r.groupBy("item_id").agg(F.var_pop("resp").alias("variance"))), "partial")
+
+
+QUERIES = {f"irt_{f.__name__}": f for f in (expand_table, recode, likert, dichotomise_at_median, dichotomise_by_item, complete_rows, completed_by_mean, completed_by_mode, check_patterns, missing_by, collapse_with_groups, item_frequencies, clinical_significance, change_with_errors, grouped_item_chi2, fit_indices, deviance_residuals, flagged_persons, flagged_pairs, parameter_dif, flagged_items, effect_sizes, test_functioning, response_functioning, residual_groups, residual_pairs, kernel_smooth, empirical_rmsea, pair_moments, mastery_any, partial_correlations)}
 
 PATTERNS = "pp as (select person_id, string_agg(item_id || ':' || resp, ' ' order by item_id) as pattern, cast(sum(resp) as int) as score from r group by 1)"
 CELLS = "items as (select cast(i as int) as item_id from range(1, 8) t(i)), cells as (select p.person_id, i.item_id, g.resp from (select distinct person_id from g) p cross join items i left join g on g.person_id = p.person_id and g.item_id = i.item_id)"
@@ -207,4 +222,5 @@ ORACLES = {
     "irt_pair_moments": f"with {A1}, x as (select i.item_id as item_i, j.item_id as item_j, count(*) as n, covar_pop(i.resp, j.resp) as cov, corr(i.resp, j.resp) as corr, count(*) filter (i.resp=1 and j.resp=1)+0.5 as c11, count(*) filter (i.resp=1 and j.resp=0)+0.5 as c10, count(*) filter (i.resp=0 and j.resp=1)+0.5 as c01, count(*) filter (i.resp=0 and j.resp=0)+0.5 as c00 from r i join r j on i.person_id=j.person_id and i.item_id<j.item_id group by 1,2) select item_i, item_j, n, round(cov,6)+0.0 as cov, round(coalesce(corr,0),6)+0.0 as corr, round(ln(c11*c00/(c10*c01)::double),6)+0.0 as log_odds from x",
     # 6.634896601 is the 99 % point of chi-square with one degree
     "irt_flagged_pairs": f"with q as ({FIRST['irt_q3']}), l as ({FIRST['irt_ld_chi2']}) select item_i, item_j, q3, chi2, abs(q3) > 0.05 as by_q3, coalesce(chi2 > 6.634896601, false) as by_chi2 from q join l using (item_i, item_j) where abs(q3) > 0.05 or chi2 > 6.634896601",
+    "irt_mastery_any": FIRST["irt_mastery"].replace("(k & item_id)=item_id", "(k & item_id)>0"),
 }
