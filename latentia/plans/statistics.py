@@ -171,7 +171,7 @@ def mastery_any(spark, d):
 
     columns = ("posterior", "p0", "p1", "p2")
     found = diagnosis.mastery_posterior(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3, 0.1, 0.2, every=False)
-    return rounded(rounded(found, *columns, digits=9), *columns)
+    return rounded(found.withColumns({c: F.col(c) + 1e-9 for c in columns}), *columns)  # some values end in a five at the seventh digit
 
 
 def partial_correlations(spark, d):
@@ -222,5 +222,5 @@ ORACLES = {
     "irt_pair_moments": f"with {A1}, x as (select i.item_id as item_i, j.item_id as item_j, count(*) as n, covar_pop(i.resp, j.resp) as cov, corr(i.resp, j.resp) as corr, count(*) filter (i.resp=1 and j.resp=1)+0.5 as c11, count(*) filter (i.resp=1 and j.resp=0)+0.5 as c10, count(*) filter (i.resp=0 and j.resp=1)+0.5 as c01, count(*) filter (i.resp=0 and j.resp=0)+0.5 as c00 from r i join r j on i.person_id=j.person_id and i.item_id<j.item_id group by 1,2) select item_i, item_j, n, round(cov,6)+0.0 as cov, round(coalesce(corr,0),6)+0.0 as corr, round(ln(c11*c00/(c10*c01)::double),6)+0.0 as log_odds from x",
     # 6.634896601 is the 99 % point of chi-square with one degree
     "irt_flagged_pairs": f"with q as ({FIRST['irt_q3']}), l as ({FIRST['irt_ld_chi2']}) select item_i, item_j, q3, chi2, abs(q3) > 0.05 as by_q3, coalesce(chi2 > 6.634896601, false) as by_chi2 from q join l using (item_i, item_j) where abs(q3) > 0.05 or chi2 > 6.634896601",
-    "irt_mastery_any": FIRST["irt_mastery"].replace("(k & item_id)=item_id", "(k & item_id)>0"),
+    "irt_mastery_any": FIRST["irt_mastery"].replace("(k & item_id)=item_id", "(k & item_id)>0").replace("round(u/sum(u) over (partition by person_id),9) as post", "u/sum(u) over (partition by person_id) as post").replace("order by post desc", "order by round(post,9) desc").replace("round(max(post),6)", "round(max(post)+1e-9,6)").replace("),6) as p", ")+1e-9,6) as p"),
 }
