@@ -6,7 +6,8 @@ Every URL is expanded to the keys that could be listed (each host suffix with
 each path prefix of a length that occurs in the list). A blocked Bloom filter
 of 64-bit words, held as one array literal whose size follows from the list and
 is checked, passes on the keys that may be listed, and a hash join on the
-canonical key removes the false positives. All of it is DataFrame expressions.
+canonical key removes the false positives. URLs without a possible hit are not
+shuffled. All of it is DataFrame expressions.
 
 Defined results: a null URL, or one without "://", has an empty host and path
 and meets no entry; empty tables give no rows; repeated rows are judged each;
@@ -23,8 +24,6 @@ from latentia.llm.tables import read
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most words of the filter that are shipped inside the plan (2 MiB); above it the filter is joined as a table.
 LITERAL_WORDS = 1 << 18
-#: Most distinct lengths of listed paths; each costs a key for every host suffix.
-MAX_PATH_LENGTHS = 64
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -74,15 +73,14 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", literal_words:
     """
     listed = listed.where("host is not null and path is not null").groupBy("host", "path").agg(F.min(F.struct("verdict", "kind")).alias("v"))
     listed = listed.select(F.col("host").alias("list_host"), F.col("path").alias("list_path"), F.col("v.verdict").alias("list_verdict"), F.col("v.kind").alias("list_kind"), canonical_key(F.col("host"), F.col("path")).alias("list_key"))
-    lengths = [r[0] for r in listed.select(F.length("list_path")).distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"listed paths have more than {MAX_PATH_LENGTHS} lengths")
+    lengths = sorted(r[0] for r in listed.select(F.length("list_path")).distinct().collect())  # as many as the longest path at most
     bloom = BlockedBloom(listed.count())
     rows = with_host_and_path(pages, url).withColumn("_row", F.monotonically_increasing_id())
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
-    prefixes = F.array_distinct(F.flatten(F.array(*[F.when(F.length("path") >= n, F.array(F.substring("path", 1, n))).otherwise(F.array().cast("array<string>")) for n in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
+    fitting = F.filter(F.from_json(F.lit(str(lengths)), "array<int>"), lambda n: n <= F.length("path"))
+    prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = rows.withColumn("_labels", labels).withColumns({"_suffixes": suffixes, "_prefixes": prefixes})
     keys = keys.withColumn("_keys", F.flatten(F.transform("_suffixes", lambda s: F.transform("_prefixes", lambda p: canonical_key(s, p))))).drop("_labels", "_suffixes", "_prefixes")
     if bloom.n_words <= literal_words:
@@ -92,8 +90,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", literal_words:
         words = F.array(*[F.lit(x).cast("long") for x in filled]) if bloom.n_words <= 64 else F.from_json(F.lit(str(filled)), "array<bigint>")
         keys = keys.withColumn("_words", words)
         passed = F.filter("_keys", lambda k: F.get("_words", bloom.word(k)).bitwiseAND(bloom.mask(k)) == bloom.mask(k))
-        hits = keys.withColumn("_hits", passed).drop("_words", "_keys").withColumn("_key", F.explode_outer("_hits")).drop("_hits")
+        judged = keys.withColumn("_hits", passed).drop("_words", "_keys")
+        free = judged.where("size(_hits) = 0").drop("_hits", "_row")
+        hits = judged.where("size(_hits) > 0").withColumn("_key", F.explode("_hits")).drop("_hits")
     else:
+        free = None
         some = keys.withColumn("_key", F.explode_outer("_keys")).drop("_keys").withColumn("_word", bloom.word(F.col("_key")))
         table = bloom.table(listed, "list_key").select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
         ok = F.col("_mask").bitwiseAND(bloom.mask(F.col("_key"))) == bloom.mask(F.col("_key"))
@@ -104,7 +105,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", literal_words:
         *[F.first(F.col(f"`{c}`")).alias(c) for c in rows.columns if c != "_row"],
         F.max_by(F.struct("list_host", "list_path", "list_verdict", "list_kind"), F.when(F.col("list_key").isNotNull(), rank)).alias("_best"),
     )
-    return best.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"], "_best.*")
+    best = best.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_row"], "_best.*")
+    return best if free is None else best.unionByName(free, allowMissingColumns=True)
 
 
 #: The rules of the query, as host, path, verdict.

@@ -7,24 +7,37 @@ of the place (a string has under 2**30 words). The choices of all windows,
 repeats once, are the fingerprint: places, counted from 0, and full hashes. A
 run of w + k - 1 words that two texts share is always met by a choice of each.
 
+A character of a script that is written without spaces is a word of its own.
+
 Defined results: a null or empty text, or one of white space, has an empty
-fingerprint; with fewer than k words the whole sequence is the one hash, so a text without
-spaces is one hash and has a likeness of 0 to its edited form; with
+fingerprint; with fewer than k words the whole sequence is the one hash; with
 fewer than w hashes the one window is all of them; two empty fingerprints are
 alike (1), an empty and another are not (0); repeated rows are kept each; with
-one document the next document is itself; null ids come last; further columns
-are left out, whatever their names.
+one document the next document is itself; ids are numbers, strings, dates or
+times; null ids come last; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from latentia.llm.tables import read, volume
 
 K, W = 4, 4
 WHITE = r"[\x20\x09-\x0D]+"
+#: Scripts written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Most ranges of ids; beyond so many times `each` bytes the ranges grow, and their sort spills.
+MAX_RANGES = 1 << 15
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces around each character of an unspaced script; a text of one byte a character has none."""
+    return F.when((F.octet_length(text) > F.length(text)) & F.rlike(text, F.lit(UNSPACED)), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
 
 
 def add_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
@@ -32,7 +45,7 @@ def add_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W)
     if k & (k - 1) or w & (w - 1):
         raise ValueError("k and w must be powers of two")
     t, a = f"_{out}_t", f"_{out}_a"
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE), lambda x: x != "")
+    words = F.filter(F.split(spaced(F.coalesce(F.col(text), F.lit(""))), WHITE), lambda x: x != "")
     df = df.withColumn(t, words).withColumn(a, F.transform(t, lambda x: F.xxhash64(x))).drop(t)
     whole = F.when(F.size(a) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.col(a))))
     df = df.withColumn(f"{a}w", F.when(F.size(a) < k, whole))
@@ -66,6 +79,19 @@ def likeness(a: str, b: str) -> Column:
     return F.when(every == 0, 1.0).otherwise(shared / every).cast("double")
 
 
+def range_bounds(rows: DataFrame, n: int) -> list:
+    """At most n - 1 ids that cut the ids into ranges of about equally many rows: quantiles of numbers, else of the ids with the least hashes."""
+    if n < 2:
+        return []
+    kind = rows.schema["id"].dataType
+    if isinstance(kind, NumericType):
+        got = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
+    else:
+        drawn = sorted(r[0] for r in rows.where("id is not null").select("id").orderBy(F.xxhash64("id")).limit(20 * n).collect())
+        got = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
+    return sorted(set(got or []))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, each: int = 24 << 20) -> DataFrame:
     """id, text and next_text of the following document by descending id (of the last: the first).
 
@@ -75,15 +101,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, each: int = 24 << 20)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     _, size = volume(rows)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
-    got = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n)) if n > 1 else F.lit(None)).first()[0]
-    bounds = sorted(set(got or []))
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)), MAX_RANGES)
+    bounds = range_bounds(rows, n)
     part = F.lit(0)
     if bounds:
-        held = F.array(*[F.lit(b) for b in bounds]) if len(bounds) <= 64 else F.from_json(F.lit(str(bounds)), f"array<{dict(rows.dtypes)['id']}>")
+        rows = rows.withColumn("_bounds", F.from_json(F.lit(json.dumps(bounds, default=str)), f"array<{dict(rows.dtypes)['id']}>"))
+        strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
         # the number of bounds under the id, by halving
-        part = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(F.col("_bounds"), lambda b: b < F.col("id"))) + 1)
-        rows = rows.withColumn("_bounds", held)
+        under = F.aggregate(strides, F.lit(0), lambda at, x: F.when(F.get("_bounds", at + x - 1) < F.col("id"), at + x).otherwise(at))
+        part = F.when(F.col("id").isNull(), 0).otherwise(under + 1)
     rows = rows.withColumn("part", part.cast("int")).drop("_bounds")
     tops = {r[0]: r[1] for r in rows.groupBy("part").agg(F.max("id")).collect()}
     order = sorted(tops, reverse=True)

@@ -119,6 +119,29 @@ def test_url_filter(spark):
         assert all(best[i] == ("", "") for i in (0, 1, 2, 12, 13, 14))
 
 
+def test_url_filter_with_a_long_list_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    listed = {(f"h{rng.integers(3000)}.{rng.choice(['com', 'net', 'x.org'])}", "/" + "p" * int(rng.integers(0, 90))): str(rng.choice(["allow", "block"])) for _ in range(9000)}
+    rows = [(h, p, v, "site") for (h, p), v in listed.items()]
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}h{rng.integers(6000)}.{rng.choice(['com', 'net', 'x.org'])}/{'p' * int(rng.integers(0, 100))}{rng.choice(['', '/q', '?z'])}" for _ in range(2000)]
+
+    def best(host, path):
+        labels, fits = host.split("."), []
+        for i in range(len(labels)):
+            h = ".".join(labels[i:])
+            fits += [(h, path[:n]) for n in range(1, len(path) + 1) if (h, path[:n]) in listed]
+        return max(fits, key=lambda e: (len(e[0] + e[1]), len(e[0])), default=(None, None))
+
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    entries = spark.createDataFrame(rows, "host string, path string, verdict string, kind string")
+    for literal in (url_filter.LITERAL_WORDS, 0):
+        got = url_filter.judge(df, entries, literal_words=literal).collect()
+        assert len(got) == len(urls) and sum(r.list_host is not None for r in got) > 300
+        for r in got:
+            want = best(r.host, r.path)
+            assert (r.list_host, r.list_path) == want and r.list_verdict == listed.get(want)
+
+
 def test_bloom_has_no_false_negative(spark):
     from pyspark.sql import functions as F
 
@@ -506,14 +529,11 @@ def test_quality_groups_and_fallbacks(spark):
     assert sum(r.kept for r in got) >= i - 1 and not next(r for r in got if r.doc_id == i).kept
 
 
-def brute_winnow(h, k=4, w=4):
-    g = h
-    picks = set()
-    for i in range(max(1, len(g) - w + 1)) if g else []:
-        part = g[i : i + w]
-        low = min(x & ((1 << 33) - 1) for x in part)
-        picks.add(i + max(j for j, x in enumerate(part) if x & ((1 << 33) - 1) == low))
-    return sorted(picks)
+def brute_winnow(grams, w=winnowing.W):
+    """Places of the choices: in each window the least low 33 bits, the rightmost of equal ones."""
+    low = [x & ((1 << 33) - 1) for x in grams]
+    windows = [range(i, i + w) for i in range(len(low) - w + 1)] or ([range(len(low))] if low else [])
+    return sorted({min(places, key=lambda i: (low[i], -i)) for places in windows})
 
 
 def test_winnowing(spark, docs, empty):
@@ -542,6 +562,32 @@ def test_winnowing(spark, docs, empty):
     assert winnowing.compare_with_edits(docs).count() == docs.count() and winnowing.compare_with_edits(empty).count() == 0
 
 
+def test_winnowing_against_brute_force_in_any_script(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abc"), 60).tolist()) for _ in range(10)] + ["".join(rng.choice(list("中文字学日本語"), 80).tolist()) for _ in range(10)] + ["Köln ist schön und groß wie eh und je", "ab中cd文 ef"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    hashed = winnowing.add_fingerprint(df, "text", "fp").withColumn("w", F.filter(F.split(winnowing.spaced(F.col("text")), winnowing.WHITE), lambda x: x != "")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    pair = lambda c, d: F.zip_with(F.slice(c, 1, F.size(c) - d), F.slice(c, d + 1, F.size(c) - d), lambda x, y: F.xxhash64(x, y))
+    hashed = hashed.withColumn("g", pair("h", 1)).withColumn("g", pair("g", 2))
+    for r in hashed.collect():
+        assert r.w == re.findall(r"[一-鿿]|[^\s一-鿿]+", r.text)
+        assert sorted((p.pos, p.hash) for p in r.fp) == [(i, r.g[i]) for i in brute_winnow(r.g)]
+
+
+def test_winnowing_takes_ids_of_other_types(spark, docs):
+    from pyspark.sql import functions as F
+
+    number = F.coalesce(F.col("doc_id"), F.lit(-1))
+    many = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"))
+    for rows in (docs, many):
+        for kind in (F.format_string("%05d", number), F.date_add(F.lit("2020-01-01"), number.cast("int")), number.cast("double")):
+            got = winnowing.compare_with_edits(rows.withColumn("doc_id", kind)).drop("doc_id").collect()
+            want = winnowing.compare_with_edits(rows.withColumn("doc_id", number)).drop("doc_id").collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_sainte_lague_equals_quotient_by_quotient():
     rng = np.random.default_rng(6)
     for _ in range(50):
