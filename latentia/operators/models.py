@@ -21,6 +21,8 @@ from latentia.operators.calibrate import weighted_patterns
 
 #: Most items of a calibration.
 MAX_ITEMS = 20_000
+#: Patterns with fewer answers than this in all are passed over on the driver, which gives the same sums without a job for each step.
+FEW_ANSWERS = 1_000_000
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -96,16 +98,23 @@ MODELS = {
 }
 
 
-def expected_counts(patterns: DataFrame, items: list[int], log_p: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
+def at_hand(patterns: DataFrame) -> DataFrame | pa.Table:
+    """The patterns as a table of the driver where a count shows them few, else as they are."""
+    answers = patterns.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0]
+    return patterns.select("items", "resps", "n").toArrow() if answers < FEW_ANSWERS else patterns
+
+
+def expected_counts(patterns: DataFrame | pa.Table, items: list[int], log_p: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Expected answers [item, category, node] and the log-likelihood. log_p: for each item [category, node]; patterns: items, resps, n."""
     j, k, q = len(items), max(x.shape[0] for x in log_p), len(weights)
     table = np.zeros((j, k, q))
     for i, x in enumerate(log_p):
         table[i, : x.shape[0]] = x
-    held = patterns.sparkSession.sparkContext.broadcast(({v: i for i, v in enumerate(items)}, table, np.log(weights)))
+    given = ({v: i for i, v in enumerate(items)}, table, np.log(np.maximum(weights, 1e-300)))
+    held = None if isinstance(patterns, pa.Table) else patterns.sparkSession.sparkContext.broadcast(given)
 
     def run(batches):
-        at, table, lw = held.value
+        at, table, lw = given if held is None else held.value
         counts, ll = np.zeros((j, k, q)), 0.0
         for batch in batches:
             n = batch.column("n").to_numpy().astype(float)
@@ -123,7 +132,11 @@ def expected_counts(patterns: DataFrame, items: list[int], log_p: list[np.ndarra
                 counts[:, c] += h.T @ post
         yield pa.RecordBatch.from_pydict({"c": pa.array([counts.tobytes()], pa.binary()), "ll": pa.array([ll])})
 
-    got = patterns.mapInArrow(run, "c binary, ll double").collect()  # one row a partition
+    if held is None:
+        got = [row for batch in run(patterns.to_batches(max_chunksize=2_000)) for row in batch.to_pylist()]
+    else:
+        given = None  # workers take the broadcast
+        got = patterns.mapInArrow(run, "c binary, ll double").collect()  # one row a partition
     return sum((np.frombuffer(r["c"]).reshape(j, k, q) for r in got), np.zeros((j, k, q))), sum(r["ll"] for r in got)
 
 
@@ -194,11 +207,12 @@ def fit(responses: DataFrame, model: str = "2PL", n_nodes: int = 21, max_iter: i
             s = np.array([seen[i].get(c, 0) for c in range(2 if binary else max(max(seen[i]), 1) + 1)], float)
             params.append(kind.start(s / s.sum()))
         nodes, weights = normal_quadrature(n_nodes)
+        answered = at_hand(patterns)
         history: list[float] = []
         done, infos = False, []
         for _ in range(max_iter):
             log_p = [np.log(np.clip(kind.curve(p, nodes), 1e-300, 1)) for p in params]
-            expected, ll = expected_counts(patterns, items, log_p, weights)
+            expected, ll = expected_counts(answered, items, log_p, weights)
             done = bool(history) and abs(ll - history[-1]) < tol * max(1.0, abs(ll) * 1e-4)
             history.append(ll)
             if done:
