@@ -130,7 +130,8 @@ def fit_groups(responses: DataFrame, groups: DataFrame, model: str = "2PL", leve
 
     configural: all parameters by group, abilities standard normal in each; metric: equal slopes, deviations free;
     scalar: equal parameters, means and deviations free. The first group's abilities are standard normal. Items in
-    `free` have parameters by group at every level.
+    `free` have parameters by group at every level. Models without slopes have free deviations at every level, so that
+    their configural and metric levels are one.
     """
     if level not in LEVELS:
         raise ValueError(f"unknown level {level}; known are {', '.join(LEVELS)}")
@@ -176,10 +177,10 @@ def fit_groups(responses: DataFrame, groups: DataFrame, model: str = "2PL", leve
                 mean = float(mass @ nodes[g])
                 if level == "scalar":
                     means[g] = mean
-                if level != "configural":
+                if level != "configural" or not sloped:
                     sds[g] = np.sqrt(max(float(mass @ (nodes[g] - (mean if level == "scalar" else 0.0)) ** 2), 1e-4))
         others = len(names) - 1
-        k = sum(tied[i] + (len(p) - tied[i]) * len(names) for i, p in start.items()) + {"configural": 0, "metric": others, "scalar": 2 * others}[level]
+        k = sum(tied[i] + (len(p) - tied[i]) * len(names) for i, p in start.items()) + {"configural": 0 if sloped else others, "metric": others, "scalar": 2 * others}[level]
         return GroupFit(model, level, names, [int(sizes[g]) for g in names], items, params, means, sds, k, history, done)
     finally:
         every.unpersist()

@@ -12,16 +12,28 @@ from latentia.operators import latent, network
 from latentia.operators.models import logistic, two
 from latentia.plans.queries import A1, rounded
 from latentia.sources import responses as src
+from latentia.sources import simulation as sim
 
 X, W = normal_quadrature(9)
 
 
-def _groups(r):
-    return r.select("person_id", (F.col("person_id") % 2).cast("int").alias("g")).distinct()
+def _answers(spark, d, p):
+    """Answers of a person for each order to 8 items, drawn with probability p: a column of person_id, item_id, t1, t2."""
+    persons = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("person_id")).withColumns({"t1": sim.normal("person_id", 31), "t2": sim.normal("person_id", 32)})
+    cells = persons.withColumn("item_id", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    return cells.select("person_id", "item_id", (sim.uniform("person_id", "item_id", 33) < p).cast("int").alias("resp"))
 
 
-def _loads():
-    return {i: (i % 2, 1) for i in range(1, 8)}
+def _logistic(z):
+    return 1 / (1 + F.exp(-z))
+
+
+def _two_groups(spark, d):
+    """The second group stands half a unit higher and spreads more."""
+    second = F.col("person_id") % 2 == 1
+    t = F.when(second, 0.5 + 1.2 * F.col("t1")).otherwise(F.col("t1"))
+    r = _answers(spark, d, _logistic((0.8 + 0.1 * F.col("item_id")) * (t - 0.4 * (F.col("item_id") - 4))))
+    return r, r.select("person_id", (F.col("person_id") % 2).cast("int").alias("g")).distinct()
 
 
 def profile_posterior(spark, d):
@@ -43,28 +55,34 @@ def trait_scores(spark, d):
 
 
 def group_fit(spark, d):
-    r = src.dichotomous(spark, d)
-    f = latent.fit_groups(r, _groups(r), "2PL", "scalar")
+    f = latent.fit_groups(*_two_groups(spark, d), "2PL", "scalar")
     return rounded(f.abilities(spark).withColumn("converged", F.lit(f.converged)), "mean", "sd", digits=3)
 
 
 def invariance(spark, d):
-    r = src.dichotomous(spark, d)
-    return rounded(latent.invariance(r, _groups(r), "1PL"), "log_likelihood", "aic", "bic", "chi2", "p", digits=2)
+    return rounded(latent.invariance(*_two_groups(spark, d), "1PL"), "log_likelihood", "aic", "bic", "chi2", "p", digits=2)
 
 
 def mixture_fit(spark, d):
-    f = latent.fit_mixture(src.dichotomous(spark, d), 2, "1PL", starts=1)
+    """A third of the persons finds hard what the others find easy."""
+    turned = F.when(F.col("person_id") % 3 == 0, -1.5).otherwise(1.5) * F.when(F.col("item_id") % 2 == 0, -1).otherwise(1)
+    f = latent.fit_mixture(_answers(spark, d, _logistic(0.6 * F.col("t1") - turned)), 2, "1PL")
     return rounded(f.table(spark).withColumn("converged", F.lit(f.converged)), "share", "value", digits=2)
 
 
 def trait_fit(spark, d):
-    f = latent.fit_traits(src.dichotomous(spark, d), _loads())
+    odd = F.col("item_id") % 2 == 1
+    r = _answers(spark, d, _logistic(1.3 * F.when(odd, F.col("t1")).otherwise(0.5 * F.col("t1") + 0.866 * F.col("t2")) + 0.2 * (F.col("item_id") - 4)))
+    f = latent.fit_traits(r, {i: (i % 2, 1 - i % 2) for i in range(1, 9)}, correlated=True)
     return rounded(f.table(spark).withColumn("converged", F.lit(f.converged)), "value", digits=2)
 
 
 def profile_fit(spark, d):
-    f = latent.fit_profiles(src.dichotomous(spark, d), {i: i for i in range(1, 8)}, 3)
+    """Two attributes; an item needs the bits of its number modulo 3, plus one."""
+    needed = F.col("item_id") % 3 + 1
+    held = F.floor(4 * sim.uniform("person_id", 34)).cast("int")
+    r = _answers(spark, d, F.when(held.bitwiseAND(needed) == needed, 0.9).otherwise(0.15))
+    f = latent.fit_profiles(r, {i: i % 3 + 1 for i in range(1, 9)}, 2)
     return rounded(f.table(spark).withColumn("converged", F.lit(f.converged)), "p", digits=2)
 
 

@@ -44,6 +44,9 @@ def test_groups_recover_mean_and_deviation(spark):
     assert rows["configural"].n_parameters == 32 and rows["metric"].n_parameters == 25 and rows["scalar"].n_parameters == 18
     assert rows["configural"].log_likelihood >= rows["metric"].log_likelihood - 1 >= rows["scalar"].log_likelihood - 2
     assert rows["scalar"].df == 7
+    rasch = {x.level: x for x in latent.invariance(r, groups, "1PL", n_nodes=11).collect()}
+    assert rasch["metric"].df == 0 and rasch["metric"].p is None and rasch["metric"].chi2 == pytest.approx(0, abs=1e-6)
+    assert rasch["scalar"].df == 7 and 0 <= rasch["scalar"].p <= 1
 
 
 def test_item_bias_finds_the_shifted_item(spark):
