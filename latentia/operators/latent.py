@@ -56,7 +56,11 @@ def log_clip(p: np.ndarray) -> np.ndarray:
 
 def shares(responses: DataFrame, binary: bool) -> dict[int, np.ndarray]:
     """Share of each category by item, in the order of the items; categories count from 0."""
-    counts = responses.where("resp is not null").groupBy("item_id", "resp").agg(F.count(F.lit(1)).alias("n"))
+    return counted_shares(responses.where("resp is not null").groupBy("item_id", "resp").agg(F.count(F.lit(1)).alias("n")), binary)
+
+
+def counted_shares(counts: DataFrame, binary: bool) -> dict[int, np.ndarray]:
+    """The same from item_id, resp, n."""
     if counts.select("item_id").distinct().limit(MAX_ITEMS + 1).count() > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
     seen: dict[int, dict[int, int]] = {}
@@ -125,6 +129,13 @@ class GroupFit:
         return spark.createDataFrame(rows, "g string, n long, mean double, sd double")
 
 
+def grouped_patterns(responses: DataFrame, groups: DataFrame) -> DataFrame:
+    """g, items, resps, n: the distinct patterns of each group. A row of groups stands for a person, so they are never sent to all."""
+    joined = responses.where("resp is not null").join(groups.where("g is not null").select("person_id", "g").hint("merge"), "person_id")
+    persons = joined.groupBy("person_id", "g").agg(F.array_sort(F.collect_list(F.struct("item_id", "resp"))).alias("p"))
+    return persons.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")).select("g", F.col("p.item_id").alias("items"), F.col("p.resp").alias("resps"), "n")
+
+
 def fit_groups(responses: DataFrame, groups: DataFrame, model: str = "2PL", level: str = "scalar", free: Sequence[int] = (), n_nodes: int = 21, max_iter: int = 500, tol: float = 1e-4) -> GroupFit:
     """Item parameters and the abilities' mean and deviation by group. groups: person_id, g; persons without a group are left out.
 
@@ -133,64 +144,72 @@ def fit_groups(responses: DataFrame, groups: DataFrame, model: str = "2PL", leve
     `free` have parameters by group at every level. Models without slopes have free deviations at every level, so that
     their configural and metric levels are one.
     """
+    every = grouped_patterns(responses, groups).persist()
+    try:
+        return fit_patterns(every, model, level, free, n_nodes, max_iter, tol)
+    finally:
+        every.unpersist()
+
+
+def fit_patterns(every: DataFrame, model: str = "2PL", level: str = "scalar", free: Sequence[int] = (), n_nodes: int = 21, max_iter: int = 500, tol: float = 1e-4) -> GroupFit:
+    """fit_groups on the patterns that grouped_patterns gives."""
     if level not in LEVELS:
         raise ValueError(f"unknown level {level}; known are {', '.join(LEVELS)}")
     kind = MODELS[model]
     sloped = model in ("2PL", "3PL", "GRM", "GPCM")  # their first parameter is the slope's logarithm
-    joined = responses.where("resp is not null").join(groups.where("g is not null").select("person_id", "g"), "person_id")
-    start = {i: kind.start(s) for i, s in shares(joined, model in ("1PL", "2PL", "3PL")).items()}
+    counts = every.select("n", F.explode(F.arrays_zip("items", "resps")).alias("x")).groupBy(F.col("x.items").alias("item_id"), F.col("x.resps").alias("resp")).agg(F.sum("n").alias("n"))
+    start = {i: kind.start(s) for i, s in counted_shares(counts, model in ("1PL", "2PL", "3PL")).items()}
     items = list(start)
     tied = {i: 0 if level == "configural" or i in free else len(p) if level == "scalar" else int(sloped) for i, p in start.items()}
-    names = sorted(r[0] for r in joined.select("g").distinct().limit(MAX_GROUPS + 1).collect())
+    sizes = {r[0]: r[1] for r in every.groupBy("g").agg(F.sum("n")).limit(MAX_GROUPS + 1).collect()}
+    names = sorted(sizes)
     if len(names) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
-    persons = joined.groupBy("person_id", "g").agg(F.array_sort(F.collect_list(F.struct("item_id", "resp"))).alias("p"))
-    every = persons.groupBy("g", "p").agg(F.count(F.lit(1)).alias("n")).select("g", F.col("p.item_id").alias("items"), F.col("p.resp").alias("resps"), "n").persist()
-    try:
-        sizes = {r[0]: r[1] for r in every.groupBy("g").agg(F.sum("n")).collect()}
-        answered = [at_hand(with_mass(every.where(F.col("g") == F.lit(g)))) for g in names]
-        x, w = normal_quadrature(n_nodes)
-        means, sds = np.zeros(len(names)), np.ones(len(names))
-        params = [[p.copy() for _ in names] for p in start.values()]
-        history: list[float] = []
-        done = False
-        for _ in range(max_iter):
-            nodes = [m + s * x for m, s in zip(means, sds, strict=True)]
-            got = [sums(a, items, [log_clip(kind.curve(ps[g], nodes[g])) for ps in params], w) for g, a in enumerate(answered)]
-            if done := settled(history, sum(s[2] for s in got), tol):
-                break
-            for i, item in enumerate(items):
-                t = tied[item]
-                size = len(params[i][0])
-
-                def parts(v, t=t, size=size):
-                    return [np.r_[v[:t], v[t + g * (size - t) : t + (g + 1) * (size - t)]] for g in range(len(names))]
-
-                def target(v, i=i, parts=parts):
-                    ps = parts(v)
-                    return sum(float((got[g][0][i, : (c := log_clip(kind.curve(p, nodes[g]))).shape[0]] * c).sum()) for g, p in enumerate(ps)) + sum(map(kind.log_prior, ps)) / len(ps)
-
-                v, _info = climb(target, np.r_[params[i][0][:t], *[p[t:] for p in params[i]]])
-                params[i] = parts(v)
-            for g in range(1, len(names)):
-                mass = got[g][1] / got[g][1].sum()
-                mean = float(mass @ nodes[g])
-                if level == "scalar":
-                    means[g] = mean
-                if level != "configural" or not sloped:
-                    sds[g] = np.sqrt(max(float(mass @ (nodes[g] - (mean if level == "scalar" else 0.0)) ** 2), 1e-4))
-        others = len(names) - 1
-        k = sum(tied[i] + (len(p) - tied[i]) * len(names) for i, p in start.items()) + {"configural": 0 if sloped else others, "metric": others, "scalar": 2 * others}[level]
-        return GroupFit(model, level, names, [int(sizes[g]) for g in names], items, params, means, sds, k, history, done)
-    finally:
-        every.unpersist()
+    answered = [at_hand(with_mass(every.where(F.col("g") == F.lit(g))), len(names)) for g in names]
+    x, w = normal_quadrature(n_nodes)
+    means, sds = np.zeros(len(names)), np.ones(len(names))
+    params = [[p.copy() for _ in names] for p in start.values()]
+    history: list[float] = []
+    done = False
+    for _ in range(max_iter):
+        nodes = [m + s * x for m, s in zip(means, sds, strict=True)]
+        got = [sums(a, items, [log_clip(kind.curve(ps[g], nodes[g])) for ps in params], w) for g, a in enumerate(answered)]
+        if done := settled(history, sum(s[2] for s in got), tol):
+            break
+        for i, item in enumerate(items):
+            t = tied[item]
+            size = len(params[i][0])
+
+            def parts(v, t=t, size=size):
+                return [np.r_[v[:t], v[t + g * (size - t) : t + (g + 1) * (size - t)]] for g in range(len(names))]
+
+            def target(v, i=i, parts=parts):
+                ps = parts(v)
+                return sum(float((got[g][0][i, : (c := log_clip(kind.curve(p, nodes[g]))).shape[0]] * c).sum()) for g, p in enumerate(ps)) + sum(map(kind.log_prior, ps)) / len(ps)
+
+            v, _info = climb(target, np.r_[params[i][0][:t], *[p[t:] for p in params[i]]])
+            params[i] = parts(v)
+        for g in range(1, len(names)):
+            mass = got[g][1] / got[g][1].sum()
+            mean = float(mass @ nodes[g])
+            if level == "scalar":
+                means[g] = mean
+            if level != "configural" or not sloped:
+                sds[g] = np.sqrt(max(float(mass @ (nodes[g] - (mean if level == "scalar" else 0.0)) ** 2), 1e-4))
+    others = len(names) - 1
+    k = sum(tied[i] + (len(p) - tied[i]) * len(names) for i, p in start.items()) + {"configural": 0 if sloped else others, "metric": others, "scalar": 2 * others}[level]
+    return GroupFit(model, level, names, [int(sizes[g]) for g in names], items, params, means, sds, k, history, done)
 
 
 def invariance(responses: DataFrame, groups: DataFrame, model: str = "2PL", **options) -> DataFrame:
     """level, log_likelihood, n_parameters, aic, bic, and chi2, df, p against the level before, for configural, metric, scalar."""
     rows, before = [], None
-    for level in LEVELS:
-        f = fit_groups(responses, groups, model, level, **options)
+    every = grouped_patterns(responses, groups).persist()
+    try:
+        fits = [(level, fit_patterns(every, model, level, **options)) for level in LEVELS]
+    finally:
+        every.unpersist()
+    for level, f in fits:
         ll, k = f.log_likelihood[-1], f.n_parameters
         chi2, df = (max(0.0, 2 * (before[0] - ll)), before[1] - k) if before else (None, None)
         rows.append((level, ll, k, 2.0 * k - 2 * ll, float(np.log(sum(f.sizes))) * k - 2 * ll, chi2, df, chi2_sf(chi2, df) if df else None, f.converged))

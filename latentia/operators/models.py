@@ -98,10 +98,10 @@ MODELS = {
 }
 
 
-def at_hand(patterns: DataFrame) -> DataFrame | pa.Table:
-    """The patterns as a table of the driver where a count shows them few, else as they are."""
+def at_hand(patterns: DataFrame, tables: int = 1) -> DataFrame | pa.Table:
+    """The patterns as a table of the driver where a count shows them few, else as they are; one of several such tables may have its share only."""
     answers = patterns.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0))).first()[0]
-    return patterns.select("items", "resps", "n").toArrow() if answers < FEW_ANSWERS else patterns
+    return patterns.select("items", "resps", "n").toArrow() if answers < FEW_ANSWERS / tables else patterns
 
 
 def expected_counts(patterns: DataFrame | pa.Table, items: list[int], log_p: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, float]:

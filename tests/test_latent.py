@@ -49,6 +49,17 @@ def test_groups_recover_mean_and_deviation(spark):
     assert rasch["scalar"].df == 7 and 0 <= rasch["scalar"].p <= 1
 
 
+def test_groups_are_joined_once_and_never_broadcast(spark, monkeypatch):
+    """A row of groups stands for a person, and all fits of one comparison take the same patterns."""
+    x = draw(np.random.default_rng(2), np.full((200, 3), 0.5))
+    r, groups = table(spark, x), spark.range(200).select(F.col("id").alias("person_id"), (F.col("id") % 2).alias("g"))
+    plan = latent.grouped_patterns(r, groups)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    calls = []
+    monkeypatch.setattr(latent, "grouped_patterns", lambda *a, f=latent.grouped_patterns: calls.append(1) or f(*a))
+    assert latent.invariance(r, groups, "1PL", n_nodes=7, max_iter=3).count() == 3 and len(calls) == 1
+
+
 def test_item_bias_finds_the_shifted_item(spark):
     rng = np.random.default_rng(5)
     theta = rng.normal(size=1600)
