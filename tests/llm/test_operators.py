@@ -622,3 +622,49 @@ def test_mixing(docs, empty):
     for some in (docs, docs.union(docs), docs.selectExpr("cast(null as long) as doc_id", *docs.columns[1:])):  # repeated rows, and texts without an id
         taken = sum(r.taken for r in mixing.mix(some).collect())
         assert sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(some).collect()) == taken
+
+
+def test_every_block_of_a_long_line_is_a_key():
+    """A line of 400 words and one that has every third run of four words edited share all other runs."""
+    from latentia.llm.kernels import WordHasher
+
+    words = [f"word{i}x" for i in range(400)]
+    raw, offsets, _, _, _ = line_dedup.normal_lines([" ".join("".join(chr(97 + int(c)) if c.isdigit() else c for c in w) for w in words)])
+    h, _, starts = WordHasher(False).words(raw, offsets)
+    assert len(set(line_dedup.block_keys(h, starts, 8)[0].tolist())) == 100
+
+
+def test_distances_side_by_side_equal_those_one_by_one():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefgh é漢")
+    lines = []
+    for n in [1, 9, 10, 11, 63, 64, 65, 310, 320, 700] * 30 + [1300] * 40:
+        a = rng.choice(letters, n).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, n // 6 + 2))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(letters, int(rng.integers(0, 2))).tolist()
+        lines += ["".join(a), "".join(b)]
+    test = line_dedup.similarity(0.9)
+    held, i = test.gather(lines), np.arange(0, len(lines), 2)
+    want = [line_dedup.similar(lines[k], lines[k + 1], 0.9) for k in i]
+    assert test.many(held, i, i + 1).tolist() == want and 50 < sum(want) < len(want) - 50
+    assert [test.exact(held, k, k + 1) for k in i] == want
+    assert test.many(held, i[:3], i[:3] + 1).tolist() == [-1, -1, -1]  # too few to be worth it
+
+
+def test_members_from_packed_keys(spark, monkeypatch):
+    """The same buckets as from a row for each key, also where a bucket is larger than what is held."""
+    from pyspark.sql import functions as F
+
+    from latentia.llm import groups
+
+    rng = np.random.default_rng(5)
+    keys = [[int(k) * 0x1234567890ABCD % (1 << 62) for k in rng.choice(400, 12)] + [7 << 40] for _ in range(300)]
+    packed = [(n, bytearray(groups.key_bytes(np.array(k, np.uint64)).tobytes())) for n, k in enumerate(keys)]
+    plain = spark.createDataFrame([(n, k) for n, k in enumerate(keys)], "node long, keys array<long>")
+    for held in (groups.HELD_ROWS, 100):
+        monkeypatch.setattr(groups, "HELD_ROWS", held)
+        got = groups.shared_of_packed(spark.createDataFrame(packed, "node long, keys binary"))
+        sets = lambda df: sorted(tuple(sorted(r.n)) for r in df.groupBy("bucket").agg(F.collect_list("node").alias("n")).collect())
+        assert sets(got) == sets(groups.shared_members(plain.select(F.explode("keys").alias("bucket"), "node")))
