@@ -668,3 +668,65 @@ def test_members_from_packed_keys(spark, monkeypatch):
         got = groups.shared_of_packed(spark.createDataFrame(packed, "node long, keys binary"))
         sets = lambda df: sorted(tuple(sorted(r.n)) for r in df.groupBy("bucket").agg(F.collect_list("node").alias("n")).collect())
         assert sets(got) == sets(groups.shared_members(plain.select(F.explode("keys").alias("bucket"), "node")))
+
+
+def line_pairs(seed):
+    """Lines of 3 to 2,000 characters of few different triples, each with a copy of some edits."""
+    rng = np.random.default_rng(seed)
+    lines = []
+    for n in [3, 20, 125, 127, 128, 130, 380, 384, 390, 760, 770, 2000] * 8:
+        a = rng.choice(list("aabc é"), n).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, n // 3 + 1))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(list("abc "), int(rng.integers(0, 2))).tolist()
+        lines += ["".join(a), "".join(b)]
+    return lines
+
+
+def test_triples_rule_out_no_similar_lines():
+    """Sketches of different numbers of bins, also where bins are at their top, allow every similar pair and rule out unlike ones."""
+    lines = line_pairs(3)
+    chars, sketch = line_dedup.triple_sketches(lines)
+    held, allow = (chars, line_dedup.bins_of(sketch)), line_dedup.triples_allow(0.9)
+    i = np.arange(0, len(lines), 2)
+    alike = np.array([line_dedup.similar(lines[k], lines[k + 1], 0.9) for k in i])
+    assert allow(held, i, i + 1)[alike].all() and 20 < alike.sum() < len(i)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(3000)]
+    other = [" ".join(rng.choice(words, 40)) for _ in range(200)]
+    chars, sketch = line_dedup.triple_sketches(other)
+    assert not allow((chars, line_dedup.bins_of(sketch)), np.arange(0, 200, 2), np.arange(1, 200, 2)).any()
+
+
+def test_lines_of_a_common_phrase_leave_before_the_rounds(spark, monkeypatch):
+    """Unlike lines with one phrase in one place are no members any more, similar ones stay together; so too where buckets are too large to be looked at."""
+    from latentia.llm import groups
+
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows = []
+    for i in range(60):
+        w = ["this", "is", "what", "they", *[word() for _ in range(20)]]
+        rows.append((2 * i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(w[:-1] + ["other"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = line_dedup.with_earlier
+    monkeypatch.setattr(line_dedup, "with_earlier", lambda members, traits: seen.append(members.select("node").distinct().count()) or plain(members, traits))
+    for most, left in ((groups.POSSIBLE_NODES, 12), (5, 66)):
+        monkeypatch.setattr(groups, "POSSIBLE_NODES", most)
+        got = {r.id: r.keeper_id for r in line_dedup.duplicate_lines(df).collect()}
+        assert got == {20 * i + 1: 20 * i for i in range(6)} and seen.pop() == left
+
+
+def test_buckets_are_cut_by_length():
+    """Lengths of which one has nine tenths of the other are never further apart in steps, whatever their size."""
+    from latentia.llm import groups
+
+    n = np.arange(1, 6000)
+    longest = np.array([x for x in range(1, 6000)])
+    shortest = np.maximum(longest - np.floor(longest * (1 - 0.9) + 1e-9).astype(np.int64), 1)
+    apart = groups.length_steps(n)[longest - 1].astype(int) - groups.length_steps(n)[shortest - 1]
+    assert apart.max() <= groups.steps_apart(0.9) < 10
