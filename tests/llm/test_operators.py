@@ -653,6 +653,43 @@ def test_distances_side_by_side_equal_those_one_by_one():
     assert test.many(held, i[:3], i[:3] + 1).tolist() == [-1, -1, -1]  # too few to be worth it
 
 
+def test_what_lines_begin_or_end_with_is_left_out_of_their_distance(monkeypatch):
+    """Lines that share a long passage are compared on what is beside it, and on bands of half the width that edits would need on both sides."""
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("abcdefgh "), 400))
+    own = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    lines = [x for k in range(60) for x in (own(20 + k) + passage, own(20 + (k * 7) % 60) + passage)]
+    cells, banded = [], line_dedup.banded
+    monkeypatch.setattr(line_dedup, "banded", lambda text, fa, la, fb, lb, most, width: (cells.append((int(la.max()), width)), banded(text, fa, la, fb, lb, most, width))[1])
+    test = line_dedup.similarity(0.9)
+    held, i = test.gather(lines), np.arange(0, len(lines), 2)
+    want = [line_dedup.similar(lines[k], lines[k + 1], 0.9) for k in i]
+    assert test.many(held, i, i + 1).tolist() == want and 5 < sum(want) < len(want) - 5
+    assert cells and max(n for n, _ in cells) < 100 and {w for _, w in cells} == {1}
+
+
+def test_candidates_are_dealt_out_by_pairs(spark, monkeypatch):
+    """A few rows with many centres each are verified in many tasks."""
+    from pyspark.sql import functions as F
+
+    from latentia.llm import groups
+
+    monkeypatch.setattr(groups, "GROUP_PAIRS", 100)
+    rows = spark.range(40).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("a"), F.col("id").alias("comp"), F.sequence(F.lit(100).cast("long"), F.lit(149).cast("long")).alias("bs"))
+    centres = spark.range(100, 150).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("b"), F.col("id").alias("comp_b"))
+    data = spark.range(150).select(F.col("id").alias("node"), F.col("id").cast("string").alias("data"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def gather(values):
+        seen.add(1)
+        return values
+
+    test = groups.Test(gather, lambda held, i, js: js, lambda held, i, j: int(held[i]) + 100 == int(held[j]))
+    found = {tuple(r) for r in groups.settle(rows, centres, data, test).collect()}
+    assert found == {(i, i + 100) for i in range(40)}
+    assert seen.value > 4
+
+
 def test_members_from_packed_keys(spark, monkeypatch):
     """The same buckets as from a row for each key, also where a bucket is larger than what is held."""
     from pyspark.sql import functions as F
