@@ -721,6 +721,18 @@ def line_pairs(seed):
     return lines
 
 
+def test_keys_of_lines_are_never_written(spark, monkeypatch):
+    """Keys go from the texts straight into their parts, whatever lies on disk meanwhile; lines are linked as before."""
+    kept, keep = [], line_dedup.keep
+    monkeypatch.setattr(line_dedup, "keep", lambda df: (kept.append(df.columns), keep(df))[1])
+    words = [f"{a}{b}rd" for a in "bcdfg" for b in "aeiou"]
+    line = " ".join(words)
+    rows = [(1, f"{line}\n\nfew words"), (2, None), (3, line.replace("bard", "bart") + "\nfew words"), (4, "")]
+    got = {r[0]: r[2] for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", exact_words=1).collect()}
+    assert got == {3: [0, 1]}
+    assert kept and not any("keys" in columns for columns in kept)
+
+
 def test_triples_rule_out_no_similar_lines():
     """Sketches of different numbers of bins, also where bins are at their top, allow every similar pair and rule out unlike ones."""
     lines = line_pairs(3)
